@@ -39,6 +39,7 @@ CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows (9 bytes each), beyond it the join shuffles.
 BROADCAST_LABELS = 4_000_000
 THRESHOLD = 0.3
+FEATURES = 3
 _U = np.uint64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -159,9 +160,10 @@ def _add(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def features(model: Model, column: pa.Array, window: int = WINDOW) -> np.ndarray:
-    """Two columns: mean evidence a word over the whole text, and over the best window (whole texts, words scored once a block)."""
+    """Columns: mean evidence a word over the whole text, over the best window, and the logarithm of the text's length in
+    words, as a longer text has more windows to choose from. Each distinct word is scored once a block."""
     data, offs = X.buffers(column)
-    out = np.zeros((len(offs) - 1, 2))
+    out = np.zeros((len(offs) - 1, FEATURES))
     for i, j in X.blocks(offs):
         part, o = fold(data[offs[i] : offs[j]]), offs[i : j + 1] - offs[i]
         s, e, first = X.word_bounds(part, o, _GAP)
@@ -176,6 +178,7 @@ def features(model: Model, column: pa.Array, window: int = WINDOW) -> np.ndarray
         # best window: windows may not leave the text, shorter texts count as one window of full length
         starts = np.arange(len(w))
         end = np.minimum(starts + window, np.repeat(first[1:], n))
+        out[i + full, 2] = np.log1p(n[full])
         out[i + full, 1] = np.maximum.reduceat((c[end] - c[starts]) / window, first[:-1][full])
     return out
 
@@ -252,13 +255,13 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = features(shared.value, b.column(0))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(f[:, 0]), pa.array(f[:, 1])], names=["y", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(f[:, k]) for k in range(FEATURES))], names=["y", *(f"f{k}" for k in range(FEATURES))])
 
     some = rows.where("_f = 3").select("_id", "_t", "_y").orderBy(F.xxhash64("_id")).limit(calibration_rows) if n > 4 * calibration_rows else rows.where("_f = 3")
-    fit = some.select("_t", "_y").mapInArrow(measure, "y int, f0 double, f1 double").toArrow()
-    y, f = fit.column("y").to_numpy() > 0, np.stack([fit.column(c).to_numpy() for c in ("f0", "f1")], 1)
+    fit = some.select("_t", "_y").mapInArrow(measure, "y int, " + ", ".join(f"f{k} double" for k in range(FEATURES))).toArrow()
+    y, f = fit.column("y").to_numpy() > 0, np.stack([fit.column(f"f{k}").to_numpy() for k in range(FEATURES)], 1)
     if not len(y) or y.all() or not y.any():
-        y, f = np.array([False, True]), np.array([[-1.0, -1.0], [1.0, 1.0]])
+        y, f = np.array([False, True]), np.array([[-1.0, -1.0, 0.0], [1.0, 1.0, 0.0]])
     return shared, fit_curve(f, y.astype(float))
 
 
@@ -270,7 +273,7 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if shared is None:
-                f, p = np.zeros((b.num_rows, 2)), np.full(b.num_rows, curve)
+                f, p = np.zeros((b.num_rows, FEATURES)), np.full(b.num_rows, curve)
             else:
                 f = features(shared.value, b.column(1))
                 p = 1 / (1 + np.exp(-np.clip(curve[0] + f @ curve[1:], -50, 50)))
