@@ -9,12 +9,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Segments remembered by one Python worker.
-CACHE = 600_000
+#: Segments that one generation of a worker's cache holds. When it is full it becomes the old one, from which segments that
+#: come again are taken over.
+CACHE = 500_000
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　\x00]")
+#: Marks that may end a word segment.
+_MARKS = frozenset(".,:;!?")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -25,6 +32,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Cache(dict):
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, s: str) -> bytes:
+        got = self.old.get(s)
+        if got is None:
+            got = self.make(s)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[s] = got
+        return got
+
+
 class Encoder:
     """ids_of(texts): ids of each text as little-endian unsigned 32-bit integers.
 
@@ -36,9 +58,21 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.drops_space, self.known = Tokenizer.from_file(path), drops_space, {"": b""}
-        self.mark = " \x01 " if drops_space else "\n"
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.tokenizer, self.drops_space, self.known = Tokenizer.from_file(path), drops_space, _Cache(self._encode)
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)
+        self.marks = {p: self._whole(p) for p in _MARKS}
+        self.known[""] = b""
+
+    def _whole(self, s: str) -> bytes:
+        return array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, s: str) -> bytes:
+        """A run of letters below U+0250, with one blank before it at most: one pre-token, given to the model itself."""
+        if self.drops_space:
+            s = s.lower()
+        s = s.replace(" ", "\u0120") if s.isascii() else s.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(s)]).tobytes()
 
     def _segments(self, text: str) -> list[str]:
         if self.drops_space:
@@ -47,41 +81,23 @@ class Encoder:
             return [text]
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes segments: plain ones joined by a mark that has an id of its own, the others one by one."""
-        plain = [s for s in new if self._plain(s)]
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            if len(parts) != len(some):
-                plain = plain[:i]
-                break
-            self.known[some[0]] = parts[0].tobytes()
-            self.known.update((s, p[1:].tobytes()) for s, p in zip(some[1:], parts[1:], strict=True))
-        rest = [s for s in new if s not in self.known]
-        for s, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[s] = np.array(e.ids, "<u4").tobytes()
-
-    def _plain(self, s: str) -> bool:
-        """One visible run, with one blank before it at most."""
-        word = s[1:] if s[0] == " " else s
-        return word.split() == [word] and "\x01" not in word
+    @staticmethod
+    def _simple(w: str) -> bool:
+        """Normalising and lower-casing leave such letters letters."""
+        return w.isascii() or max(w) < "\u0250" and "\u0130" not in w
+
+    def _encode(self, s: str) -> bytes:
+        """A segment's ids: words, and words with one mark after them, by the model alone, all others by the tokenizer."""
+        w = s[1:] if s[:1] == " " and not self.drops_space else s
+        if w.isalpha() and self._simple(w):
+            return self._word(s)
+        if w[-1:] in self.marks and (w := w[:-1]).isalpha() and self._simple(w):
+            return self.known[s[:-1]] + self.marks[s[-1]]
+        return self._whole(s) if s else b""
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            parts = [self._segments(t) if t else [] for t in texts[i : i + 256]]
-            found = [list(map(self.known.get, p)) for p in parts]
-            new = {s for p, f in zip(parts, found, strict=True) if None in f for s, x in zip(p, f, strict=True) if x is None}
-            if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known = {"": b""}
-                self._learn(list(new))
-                get = self.known.get
-                found = [[get(s) if x is None else x for s, x in zip(p, f, strict=True)] if None in f else f for p, f in zip(parts, found, strict=True)]
-            out.extend(map(b"".join, found))
-        return out
+        get = self.known.__getitem__
+        return [b"".join(map(get, self._segments(t))) if t else b"" for t in texts]
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
