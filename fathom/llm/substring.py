@@ -157,8 +157,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         asked["doc"] = ids[np.searchsorted(w.first, starts[new], "right") - 1]
         parts = split_by(bucket_of(asked["k"], n2), asked)
         g = left.column("g")[0].as_py()
-        # occurrences after this group's first need no bucket; they come along with one of its questions
-        return pa.table({"bucket": pa.array([x for x, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "asked": pa.array([p[0].tobytes() for _, p in parts], pa.binary()), "again": pa.array([again.tobytes() if n == 0 else b"" for n in range(len(parts))], pa.binary())})
+        # occurrences after this group's first need no bucket; they come along with one of its questions, spread by group
+        return pa.table({"bucket": pa.array([x for x, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "asked": pa.array([p[0].tobytes() for _, p in parts], pa.binary()), "again": pa.array([again.tobytes() if n == g % len(parts) else b"" for n in range(len(parts))], pa.binary())})
 
     def earliest(table: pa.Table) -> pa.Table:
         blobs = table.column("asked").to_pylist()
