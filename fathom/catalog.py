@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators import graph, matrix, models, numeric, stats, timeseries
+from fathom.functions import columns, special
+from fathom.operators import graph, matrix, models, numeric, resampling, stats, timeseries
+from fathom.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -506,3 +508,45 @@ def quaternion_rotate(s, d):
     h = F.lit(0.5**0.5)
     x, y, z = numeric.quaternion_rotate((h, F.lit(0.0), F.lit(0.0), h), (F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")))
     return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *((F.round(v, 9) + 0.0).alias(n) for v, n in ((x, "x"), (y, "y"), (z, "z"))))
+
+
+@query()
+def anova_p_value(s, d):
+    ship(s)
+    a = stats.anova(t(s, d, "lineitem"), "l_extendedprice", "l_returnflag")
+    return a.withColumn("p_value", special.column("f_sf", "f_statistic", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+
+
+@query("""WITH x AS (SELECT event_id, value / 50 AS x FROM events) SELECT event_id, exp(-x * x / 2) / sqrt(2 * pi()) AS normal, 1 - exp(-x) AS exponential, 1 / (1 + exp(-x)) AS logistic, CASE WHEN x < 1 THEN 0 ELSE 1 - power(1 / x, 2.0) END AS pareto, 1 - exp(-power(x, 1.5)) AS weibull,
+    atan(x) / pi() + 0.5 AS cauchy, exp(-exp(-x)) AS gumbel, 1 + x * (2 + x * 3) AS polynomial FROM x""")
+def distribution_columns(s, d):
+    x = F.col("x")
+    return t(s, d, "events").select("event_id", (F.col("value") / 50).alias("x")).select(
+        "event_id", columns.normal_pdf(x).alias("normal"), columns.exponential_cdf(x, 1.0).alias("exponential"), columns.logistic_cdf(x).alias("logistic"), columns.pareto_cdf(x, 2.0, 1.0).alias("pareto"),
+        columns.weibull_cdf(x, 1.5, 1.0).alias("weibull"), columns.cauchy_cdf(x).alias("cauchy"), columns.gumbel_cdf(x).alias("gumbel"), columns.polynomial(x, [1, 2, 3]).alias("polynomial"),
+    )
+
+
+@query()
+def bootstrap_ci(s, d):
+    return resampling.bootstrap_mean(t(s, d, "customer"), "c_acctbal", "c_custkey", 200)
+
+
+@query()
+def permutation_p(s, d):
+    return resampling.permutation_p(t(s, d, "customer"), "c_acctbal", F.col("c_mktsegment") == "BUILDING", "c_custkey", 200)
+
+
+@query()
+def mc_integrate(s, d):
+    return resampling.mc_integrate(s, lambda x: x * x, 0.0, 3.0, 1_000_000)
+
+
+@query()
+def logistic_regression(s, d):
+    return models.logistic(_flags(s, d), "quality", ["score"])
+
+
+@query("SELECT event_type, count(*)::DOUBLE + 1 AS shape, count(DISTINCT user_id)::DOUBLE + 1 AS rate, (count(*)::DOUBLE + 1) / (count(DISTINCT user_id) + 1) AS mean FROM events GROUP BY 1")
+def gamma_poisson(s, d):
+    return numeric.gamma_poisson(t(s, d, "events"), ["event_type"])
