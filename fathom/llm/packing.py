@@ -76,7 +76,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
         bound = max(bound, x.sum() / max(value, 1.0))
         if value <= 1 + 1e-9 or x.sum() - bound <= gap * bound:
             break
-        step = inverse @ new
+        step = np.einsum("ij,j->i", inverse, new)  # small: threads of a matrix library would cost more than they give
         up = np.flatnonzero(step > 1e-9)
         ratio = x[up] / step[up]
         out = up[int(ratio.argmin())]
