@@ -339,11 +339,11 @@ def naive_bayes_fit(s, d):
     return models.naive_bayes_fit(t(s, d, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"])
 
 
-@query("""WITH q AS (SELECT vec_id AS q_id, embedding AS e FROM embeddings WHERE vec_id % 25 = 0), p AS (SELECT q_id, vec_id, label, list_sum(list_transform(list_zip(e, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q JOIN embeddings ON q_id <> vec_id),
+@query("""WITH q AS (SELECT vec_id AS q_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q_id, vec_id, label, list_sum(list_transform(list_zip(e, embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM q JOIN embeddings ON q_id <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS r FROM p), v AS (SELECT q_id, label, count(*) AS n FROM r WHERE r <= 5 GROUP BY ALL) SELECT q_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, label) AS k FROM v) WHERE k = 1""")
 def knn_classify(s, d):
     e = t(s, d, "embeddings")
-    return models.knn(e, e.where("vec_id % 25 = 0"), "vec_id", "embedding", "label", 5)
+    return models.knn(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 5)
 
 
 def _coo(s, d):
@@ -393,10 +393,10 @@ def is_symmetric(s, d):
 def _edges(s, d):
     x = t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
     x = x.join(t(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
-    return x.where("src <> dst and (src + dst) % 3 = 0").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    return x.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0 GROUP BY ALL)"
+_EDGES = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)"
 
 
 @query(f"WITH {_EDGES} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY id")
@@ -425,13 +425,13 @@ def sssp_bounded(s, d):
     return x
 
 
-@query("""WITH k AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events WHERE event_id % 3 = 0 GROUP BY ALL), q AS (SELECT event_id, user_id, epoch(ts) AS x FROM events WHERE event_id % 3 <> 0),
+@query("""WITH k AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY ALL), q AS (SELECT event_id, user_id, epoch(ts) AS x FROM events WHERE event_type <> 'purchase'),
 a AS (SELECT q.*, k.x AS ax, k.y AS ay FROM q ASOF LEFT JOIN k ON q.user_id = k.user_id AND q.x >= k.x), b AS (SELECT a.*, k.x AS bx, k.y AS byy FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.x <= k.x)
 SELECT event_id, user_id, CASE WHEN x = ax THEN ay ELSE ay + (x - ax) / (bx - ax) * (byy - ay) END AS y FROM b""")
 def linear_interp_asof(s, d):
     e = series(s, d).withColumn("x", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    k = e.where("event_id % 3 = 0").groupBy("user_id", "x").agg(F.avg("value").alias("y"))
-    return numeric.interpolate(k, e.where("event_id % 3 <> 0").select("event_id", "user_id", "x"), "x", "y", BY).select("event_id", "user_id", "y")
+    k = e.where("event_type = 'purchase'").groupBy("user_id", "x").agg(F.avg("value").alias("y"))
+    return numeric.interpolate(k, e.where("event_type <> 'purchase'").select("event_id", "user_id", "x"), "x", "y", BY).select("event_id", "user_id", "y")
 
 
 @query(f"WITH x AS (SELECT *, epoch(ts) AS x FROM events), y AS (SELECT user_id, (x - lag(x) OVER ({_O})) * (value + lag(value) OVER ({_O})) / 2 AS a FROM x) SELECT user_id, sum(a) AS integral FROM y GROUP BY user_id")
@@ -496,9 +496,9 @@ def interval_product(s, d):
     return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", lo.alias("lower"), hi.alias("upper"))
 
 
-@query("WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS lo, p_size + 0.5 AS hi FROM part WHERE p_partkey % 7 = 1), b AS (SELECT s_suppkey AS id, s_suppkey % 50 + 0.25 AS lo, s_suppkey % 50 + 1.25 AS hi FROM supplier) SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.lo <= b.hi AND b.lo <= a.hi")
+@query("WITH a AS (SELECT p_partkey AS id, p_size::DOUBLE AS lo, p_size + 0.5 AS hi FROM part), b AS (SELECT s_suppkey AS id, s_suppkey % 50 + 0.25 AS lo, s_suppkey % 50 + 1.25 AS hi FROM supplier) SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON a.lo <= b.hi AND b.lo <= a.hi")
 def interval_overlap_join(s, d):
-    a = t(s, d, "part").where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 0.5).alias("hi"))
+    a = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 0.5).alias("hi"))
     b = t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 50 + 0.25).alias("lo"), (F.col("s_suppkey") % 50 + 1.25).alias("hi"))
     return numeric.overlaps(a, b, "lo", "hi", 2.0)
 
