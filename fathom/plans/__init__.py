@@ -1,3 +1,3 @@
 """Registered queries of the scalar, forecasting, regression and solver modules; importing a module registers its queries."""
 
-from fathom.plans import forecasts, learning, scalars  # noqa: F401
+from fathom.plans import forecasts, learning, scalars, tensors  # noqa: F401
