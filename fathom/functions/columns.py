@@ -125,3 +125,8 @@ def sum_uncertainty(*sd: Column) -> Column:
 def hash_uniform(*key: Column, seed: int = 0) -> Column:
     """A uniform number in [0, 1) that depends on seed and key alone, so retried tasks draw the same."""
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def nonzero(x: Column) -> Column:
+    """x, or null where it is 0, so that a quotient by it is null there."""
+    return F.when(x != 0, x)

@@ -114,7 +114,7 @@ def differentiate(e: _Tree, name: str) -> _Tree:
 
 
 def simplify(e: _Tree) -> _Tree:
-    """Sums and products are flattened, numbers folded, equal terms and equal bases gathered, in a fixed order."""
+    """Sums and products are flattened, numbers folded and multiplied into sums, equal terms and equal bases gathered, in a fixed order."""
     if not isinstance(e, Op):
         return e
     if e.kind == "+":
@@ -163,6 +163,8 @@ def _product(factors: list[_Tree]) -> _Tree:
     if number == 0:
         return lift(0)
     parts = [b if n == 1 else Op("^", (b, lift(n))) for b, n in sorted(powers.items(), key=lambda t: repr(t[0])) if n]
+    if number != 1 and len(parts) == 1 and isinstance(parts[0], Op) and parts[0].kind == "+":
+        return simplify(_chain("+", [lift(number) * x for x in _flat(parts[0], "+")]))
     return _chain("*", ([lift(number)] if number != 1 or not parts else []) + parts)
 
 

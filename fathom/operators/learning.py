@@ -199,7 +199,11 @@ def decision_tree(df: DataFrame, label: str, xs: list[str], depth: int = 3, bins
     d = df.select(*(F.col(c).cast("double").alias(c) for c in xs), label).dropna()
     cuts = d.approxQuantile(xs, [(k + 1) / (bins + 1) for k in range(bins)], 1e-3)
     edges = [sorted(set(c)) for c in cuts]
-    place = [F.size(F.filter(F.array(*map(F.lit, ed)), lambda e, c=c: F.col(c) > e)) for c, ed in zip(xs, edges, strict=True)]
+
+    def bin_of(c: str, ed: list[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, ed)), lambda e: F.col(c) > e))
+
+    place = [bin_of(c, ed) for c, ed in zip(xs, edges, strict=True)]
     d = materialise(d.select(label, *(b.cast("int").alias(f"b{k}") for k, b in enumerate(place))), "bins")
     splits: dict[int, tuple[int, int]] = {}
     out, live = [], [1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need, need_columns
+from fathom.functions.columns import nonzero
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -41,9 +42,9 @@ def simple_ols(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line: slope, intercept, r2, residual standard error, standard error of the slope, t of the slope, n."""
     need_columns(df, x, y)
     a = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.count("*").alias("n"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
-    a = a.withColumn("residual_se", F.sqrt((1 - F.col("r2")) * F.col("syy") / (F.col("n") - 2)))
-    a = a.withColumn("slope_se", F.col("residual_se") / F.sqrt("sxx"))
-    return a.select("slope", "intercept", "r2", "residual_se", "slope_se", (F.col("slope") / F.col("slope_se")).alias("t"), "n")
+    a = a.withColumn("residual_se", F.sqrt((1 - F.col("r2")) * F.col("syy") / nonzero(F.col("n") - 2)))
+    a = a.withColumn("slope_se", F.col("residual_se") / nonzero(F.sqrt("sxx")))
+    return a.select("slope", "intercept", "r2", "residual_se", "slope_se", (F.col("slope") / nonzero(F.col("slope_se"))).alias("t"), "n")
 
 
 def _groups(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -71,15 +72,15 @@ def levene(df: DataFrame, value: str, by: str, center: str = "median") -> DataFr
 def tukey_pairs(df: DataFrame, value: str, by: str) -> DataFrame:
     """Pairwise mean differences with q = |difference| / sqrt(MSW / 2 * (1/n1 + 1/n2)). Groups, not rows, are paired."""
     g = _groups(df, value, by)
-    msw = g.agg((F.sum((F.col("n") - 1) * F.col("v")) / (F.sum("n") - F.count("*"))).alias("msw"))
+    msw = g.agg((F.sum((F.col("n") - 1) * F.col("v")) / nonzero(F.sum("n") - F.count("*"))).alias("msw"))
     a, b = g.select(F.col(by).alias("a"), F.col("n").alias("n1"), F.col("m").alias("m1")), g.select(F.col(by).alias("b"), F.col("n").alias("n2"), F.col("m").alias("m2"))
     p = a.join(b, F.col("a") < F.col("b")).join(F.broadcast(msw))  # one row a group on either side
-    return p.select("a", "b", (F.col("m1") - F.col("m2")).alias("difference"), (F.abs(F.col("m1") - F.col("m2")) / F.sqrt(F.col("msw") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))).alias("q"))
+    return p.select("a", "b", (F.col("m1") - F.col("m2")).alias("difference"), (F.abs(F.col("m1") - F.col("m2")) / nonzero(F.sqrt(F.col("msw") / 2 * (1 / F.col("n1") + 1 / F.col("n2"))))).alias("q"))
 
 
 def t_one_sample(df: DataFrame, value: str, mu: float) -> DataFrame:
     a = df.agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
-    return a.select(((F.col("m") - mu) / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"))
+    return a.select(((F.col("m") - mu) / nonzero(F.col("s") / nonzero(F.sqrt("n")))).alias("t"), (F.col("n") - 1).alias("df"))
 
 
 def t_two_sample(df: DataFrame, value: str, by: str, first, second, pooled: bool) -> DataFrame:
@@ -93,11 +94,11 @@ def t_two_sample(df: DataFrame, value: str, by: str, first, second, pooled: bool
     c = {k: F.col(k) for k in ("m1", "v1", "n1", "m2", "v2", "n2")}
     if pooled:
         dof = (c["n1"] + c["n2"] - 2).cast("double")
-        se = F.sqrt(((c["n1"] - 1) * c["v1"] + (c["n2"] - 1) * c["v2"]) / dof * (1 / c["n1"] + 1 / c["n2"]))
+        se = F.sqrt(((c["n1"] - 1) * c["v1"] + (c["n2"] - 1) * c["v2"]) / nonzero(dof) * (1 / nonzero(c["n1"]) + 1 / nonzero(c["n2"])))
     else:
         a1, a2 = c["v1"] / c["n1"], c["v2"] / c["n2"]
-        dof, se = (a1 + a2) * (a1 + a2) / (a1 * a1 / (c["n1"] - 1) + a2 * a2 / (c["n2"] - 1)), F.sqrt(a1 + a2)
-    return a.select(((c["m1"] - c["m2"]) / se).alias("t"), dof.alias("df"))
+        dof, se = (a1 + a2) * (a1 + a2) / nonzero(a1 * a1 / nonzero(c["n1"] - 1) + a2 * a2 / nonzero(c["n2"] - 1)), F.sqrt(a1 + a2)
+    return a.select(((c["m1"] - c["m2"]) / nonzero(se)).alias("t"), dof.alias("df"))
 
 
 def t_paired(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -111,16 +112,16 @@ def z_two_proportion(df: DataFrame, by: str, first, second, success: Column) ->
 
     (x1, n1), (x2, n2) = s(first), s(second)
     a = df.agg(x1.alias("x1"), n1.alias("n1"), x2.alias("x2"), n2.alias("n2"))
-    p = (F.col("x1") + F.col("x2")) / (F.col("n1") + F.col("n2"))
-    p1, p2 = F.col("x1") / F.col("n1"), F.col("x2") / F.col("n2")
-    return a.select(((p1 - p2) / F.sqrt(p * (1 - p) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("z"), p1.alias("p1"), p2.alias("p2"))
+    p = (F.col("x1") + F.col("x2")) / nonzero(F.col("n1") + F.col("n2"))
+    p1, p2 = F.col("x1") / nonzero(F.col("n1")), F.col("x2") / nonzero(F.col("n2"))
+    return a.select(((p1 - p2) / nonzero(F.sqrt(p * (1 - p) * (1 / nonzero(F.col("n1")) + 1 / nonzero(F.col("n2")))))).alias("z"), p1.alias("p1"), p2.alias("p2"))
 
 
 def chi2_gof(df: DataFrame, by: str) -> DataFrame:
     """Goodness of fit against equal frequencies."""
     g = df.groupBy(by).count()
     t = g.agg(F.sum("count").alias("n"), F.count("*").alias("k"), F.sum(F.col("count") * F.col("count")).alias("s"))
-    return t.select((F.col("s") * F.col("k") / F.col("n") - F.col("n")).alias("chi2"), (F.col("k") - 1).alias("df"))
+    return t.select((F.col("s") * F.col("k") / nonzero(F.col("n")) - F.col("n")).alias("chi2"), (F.col("k") - 1).alias("df"))
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -128,7 +129,7 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     r, c = g.groupBy(a).agg(F.sum("count").alias("_r")), g.groupBy(b).agg(F.sum("count").alias("_c"))
     j = g.join(r, a).join(c, b)
     t = j.agg(F.sum(F.col("count") * F.col("count") / (F.col("_r") * F.col("_c"))).alias("s"), F.sum("count").alias("n"), F.countDistinct(a).alias("ka"), F.countDistinct(b).alias("kb"))
-    return t.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"), F.sqrt((F.col("s") - 1) / F.least(F.col("ka") - 1, F.col("kb") - 1)).alias("cramers_v"))
+    return t.select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("ka") - 1) * (F.col("kb") - 1)).alias("df"), F.sqrt((F.col("s") - 1) / nonzero(F.least(F.col("ka") - 1, F.col("kb") - 1))).alias("cramers_v"))
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -147,8 +148,8 @@ def mann_whitney(df: DataFrame, value: str, by: str, first, second) -> DataFrame
     x = a.join(F.broadcast(ties))  # one row each
     n = F.col("n1") + F.col("n2")
     u, mean = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n2") / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return x.select(u.alias("u1"), (F.col("n1") * F.col("n2") - u).alias("u2"), ((u - mean) / sd).alias("z"))
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / nonzero(n * (n - 1))))
+    return x.select(u.alias("u1"), (F.col("n1") * F.col("n2") - u).alias("u2"), ((u - mean) / nonzero(sd)).alias("z"))
 
 
 def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -165,7 +166,7 @@ def kruskal(df: DataFrame, value: str, by: str) -> DataFrame:
     ties = r.agg(F.sum(F.col("times").cast("double") * F.col("times") * F.col("times") - F.col("times")).alias("ties"))
     x = t.join(F.broadcast(ties))  # one row each
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = (12 / nonzero(n * (n + 1)) * F.col("s") - 3 * (n + 1)) / nonzero(1 - F.col("ties") / nonzero(n * n * n - n))
     return x.select(h.alias("h"), (F.col("k") - 1).alias("df"))
 
 

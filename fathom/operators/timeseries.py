@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need, need_columns
+from fathom.functions.columns import nonzero
 
 
 def ordered(by: list[str], order: list[str]) -> W:
@@ -49,20 +50,20 @@ def acf(df: DataFrame, value: str, by: list[str], order: list[str], lags: int) -
     w = ordered(by, order)
     x = df.withColumn("_d", F.col(value) - F.avg(value).over(W.partitionBy(*by)))
     x = x.select(*by, "_d", *(F.lag("_d", k).over(w).alias(f"_{k}") for k in range(1, lags + 1)))
-    g = x.groupBy(*by).agg(F.count("*").alias("n"), *((F.sum(F.col("_d") * F.col(f"_{k}")) / F.sum(F.col("_d") * F.col("_d"))).alias(f"r{k}") for k in range(1, lags + 1)))
+    g = x.groupBy(*by).agg(F.count("*").alias("n"), *((F.sum(F.col("_d") * F.col(f"_{k}")) / nonzero(F.sum(F.col("_d") * F.col("_d")))).alias(f"r{k}") for k in range(1, lags + 1)))
     return g.select(*by, "n", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in range(1, lags + 1)))).alias("x")).select(*by, "n", "x.lag", "x.r")
 
 
 def ljung_box(df: DataFrame, value: str, by: list[str], order: list[str], lags: int) -> DataFrame:
     a = acf(df, value, by, order, lags)
-    return a.groupBy(*by).agg((F.max("n") * (F.max("n") + 2) * F.sum(F.col("r") * F.col("r") / (F.col("n") - F.col("lag")))).alias("q"), F.lit(lags).alias("df"))
+    return a.groupBy(*by).agg((F.max("n") * (F.max("n") + 2) * F.sum(F.col("r") * F.col("r") / nonzero(F.col("n") - F.col("lag")))).alias("q"), F.lit(lags).alias("df"))
 
 
 def ccf(df: DataFrame, x: str, y: str, by: list[str], order: list[str], lag: int) -> DataFrame:
     """Correlation of x with y lag rows later, about whole-series means and deviations."""
     w, all_ = ordered(by, order), W.partitionBy(*by)
     d = df.select(*by, (F.col(x) - F.avg(x).over(all_)).alias("_x"), F.lead(F.col(y), lag).over(w).alias("_l"), F.avg(y).over(all_).alias("_my"), (F.col(y) - F.avg(y).over(all_)).alias("_y"))
-    return d.groupBy(*by).agg((F.sum(F.col("_x") * (F.col("_l") - F.col("_my"))) / F.sqrt(F.sum(F.col("_x") * F.col("_x")) * F.sum(F.col("_y") * F.col("_y")))).alias("ccf"))
+    return d.groupBy(*by).agg((F.sum(F.col("_x") * (F.col("_l") - F.col("_my"))) / nonzero(F.sqrt(F.sum(F.col("_x") * F.col("_x")) * F.sum(F.col("_y") * F.col("_y"))))).alias("ccf"))
 
 
 def change_point(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
