@@ -157,3 +157,17 @@ def test_local_solvers(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "id int, w double")
     got = {r.id: r.y[0] for r in solvers.each(df, "id", lambda r: solvers.rk45(lambda t, y: -r.w * y, [1.0], 0.0, 1.0)[1]).collect()}
     assert got[1] == pytest.approx(math.exp(-2), abs=1e-6) and got[2] == pytest.approx(math.exp(-3), abs=1e-6)
+
+
+def test_smoothing_is_the_joint_solution(spark):
+    """First level is the first value with variance p0; the smoothed levels minimise all squared terms together."""
+    q, r, p0, z = 0.5, 4.0, 1.0, [1.0, 4.0, 2.0, 7.0]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(z)], "s string, t int, v double")
+    got = [x.level for x in forecasting.kalman_smooth(df, "v", ["s"], ["t"], q, r, ["t"], p0).orderBy("t").collect()]
+    m, b = np.zeros((4, 4)), np.zeros(4)
+    m[0, 0], b[0] = 1 / p0, z[0] / p0
+    for k in range(1, 4):
+        m[k, k] += 1 / r
+        b[k] += z[k] / r
+        m[k - 1 : k + 1, k - 1 : k + 1] += np.array([[1, -1], [-1, 1]]) / q
+    assert got == pytest.approx(np.linalg.solve(m, b).tolist())
