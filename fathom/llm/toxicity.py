@@ -12,8 +12,9 @@ length-normalised toxic and ordinary log-likelihoods, a mean over words: over th
 WINDOW words where it is highest. A logistic curve, fitted on labelled rows kept out of the counts, turns both into a score.
 
 Labels are read for rows whose crc32(id as text) mod 4 is not 2: remainders 0 and 1 count, remainder 3 calibrates. Counts
-cover all of these labelled documents. Bounds, as parameters: SLOTS hashed slots an order (the model's size, which is what
-is broadcast), and CALIBRATION_ROWS labelled rows for the curve, chosen by hash of their id.
+cover all of these labelled documents, and every distinct n-gram (by its 64-bit hash) has a row of its own, so the model
+grows with their number. It is collected and broadcast whole, at 40 bytes an n-gram at most. Bound, as a parameter:
+CALIBRATION_ROWS labelled rows for the curve, chosen by hash of their id.
 
 Null and empty texts have no evidence and get the curve's value at zero. Without labels of both classes the score is the
 share of toxic labels, (toxic + 1) / (labelled + 2). Repeated ids are scored row by row; a repeated label row counts once
@@ -34,7 +35,6 @@ from fathom.llm import text as X
 from fathom.session import materialise, ship
 
 ORDER, WINDOW, DISCOUNT = 5, 8, 0.75
-SLOTS = 1 << 19
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows (9 bytes each), beyond it the join shuffles.
 BROADCAST_LABELS = 4_000_000
@@ -83,7 +83,7 @@ def _grams(flat: np.ndarray, begin: np.ndarray, order: int) -> tuple[np.ndarray,
     return rank, h
 
 
-def gram_counts(words: list[bytes], counts: np.ndarray, order: int = ORDER, slots: int = SLOTS) -> list[tuple[np.ndarray, np.ndarray]]:
+def gram_counts(words: list[bytes], counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
     """For n = 1..order: distinct (hash of n-gram, hash of its history, hash of its suffix) with counts of both classes."""
     flat, begin = _flat(words)
     rank, h = _grams(flat, begin, order)
@@ -101,56 +101,61 @@ def gram_counts(words: list[bytes], counts: np.ndarray, order: int = ORDER, slot
     return out
 
 
+def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Index of each x in ascending keys; len(keys) where it is not among them."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, len(keys))
+
+
 class Model:
-    """Tables by slot. own[n]: class parts of n-grams at the longest history; shared[n]: the backoff."""
+    """Tables by n-gram and by history, in order of their hashes, with one more entry for the unseen. own_p, own_l: class
+    parts of n-grams at the longest history; p, l: the backoff."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, slots: int = SLOTS, discount: float = DISCOUNT):
-        self.order, self.slots = order, slots
-        mask = _U(slots - 1)
-        self.own_p, self.own_l, self.p, self.l = [], [], [], []
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT):
+        self.order = order
+        self.grams, self.histories, self.own_p, self.own_l, self.p, self.l = [], [], [], [], [], []
         for n in range(1, order + 1):
             keys, count = grams[n - 1]
-            slot, hist = (keys[:, 0] & mask).astype(np.int64), (keys[:, 1] & mask).astype(np.int64)
-            p, back = np.zeros((2, slots), np.float32), np.ones((2, slots), np.float32)
+            by = np.argsort(keys[:, 0])
+            keys, count = keys[by], count[by]
+            known, hist = np.unique(keys[:, 1], return_inverse=True)
+            self.grams.append(keys[:, 0].copy())
+            self.histories.append(known)
+            p, back = np.zeros((2, len(keys) + 1), np.float32), np.ones((2, len(known) + 1), np.float32)
             for c in (0, 1):
                 n_c = count[:, c]
-                total, kinds = np.bincount(hist, n_c, slots), np.bincount(hist, n_c > 0, slots)
-                p[c] = np.bincount(slot, np.maximum(n_c - discount, 0) / np.maximum(total[hist], 1), slots)
-                back[c] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1)
+                total, kinds = np.bincount(hist, n_c, len(known)), np.bincount(hist, n_c > 0, len(known))
+                p[c, :-1] = np.maximum(n_c - discount, 0) / np.maximum(total[hist], 1)
+                back[c, :-1] = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1)
             self.own_p.append(p)
             self.own_l.append(back)
             # continuation counts: distinct longer n-grams that end in this one; at the top order plain counts are not used
             if n < order:
-                longer = grams[n][0]
-                cont = np.bincount((longer[:, 2] & mask).astype(np.int64), minlength=slots).astype(float)
-                m = np.maximum(cont[slot], 1)
-                total, kinds = np.bincount(hist, m, slots), np.bincount(hist, minlength=slots)
-                self.p.append(np.bincount(slot, np.maximum(m - discount, 0) / np.maximum(total[hist], 1), slots).astype(np.float32))
-                self.l.append(np.where(total > 0, discount * kinds / np.maximum(total, 1), 1).astype(np.float32))
+                ends = _find(keys[:, 0], grams[n][0][:, 2])
+                m = np.maximum(np.bincount(ends, minlength=len(keys) + 1)[:-1], 1)
+                total, kinds = np.bincount(hist, m, len(known)), np.bincount(hist, minlength=len(known))
+                self.p.append(np.append(np.maximum(m - discount, 0) / np.maximum(total[hist], 1), 0).astype(np.float32))
+                self.l.append(np.append(discount * kinds / np.maximum(total, 1), 1).astype(np.float32))
 
     def evidence(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """For each word: log-likelihood as toxic less that as ordinary."""
         rank, h = _grams(flat, begin, self.order)
-        mask = _U(self.slots - 1)
-        slot = [(x & mask).astype(np.int64) for x in h]
         llr = np.zeros(len(flat))
         shared = np.full(len(flat), 1 / 256)
-        zero = np.zeros(len(flat), np.int64)
         for n in range(1, self.order + 1):
-            hist = zero
-            if n > 1:
-                hist = np.empty_like(zero)
-                hist[1:], hist[0] = slot[n - 2][:-1], 0
+            ok = np.flatnonzero((rank >= 1) & (rank >= n - 1))
+            s = _find(self.grams[n - 1], h[n - 1][ok])
+            t = _find(self.histories[n - 1], h[n - 2][ok - 1] if n > 1 else np.zeros(len(ok), np.uint64))
+            low = shared[ok]
             # history ends here: the word is just so long, or the order is reached
-            own = np.flatnonzero((rank == n - 1) & (rank >= 1)) if n < self.order else np.flatnonzero(rank >= n - 1)
-            if len(own):
-                s, t, low = slot[n - 1][own], hist[own], shared[own]
-                a = self.own_p[n - 1][1][s] + self.own_l[n - 1][1][t] * low
-                b = self.own_p[n - 1][0][s] + self.own_l[n - 1][0][t] * low
-                llr[own] = np.log(np.maximum(a, 1e-12)) - np.log(np.maximum(b, 1e-12))
+            own = rank[ok] == n - 1 if n < self.order else np.ones(len(ok), bool)
+            if own.any():
+                a, b = (self.own_p[n - 1][c][s[own]] + self.own_l[n - 1][c][t[own]] * low[own] for c in (1, 0))
+                llr[ok[own]] = np.log(np.maximum(a, 1e-12)) - np.log(np.maximum(b, 1e-12))
             if n < self.order:
-                ok = rank >= n - 1
-                shared = np.where(ok, self.p[n - 1][slot[n - 1]] + self.l[n - 1][hist] * shared, shared)
+                shared[ok] = self.p[n - 1][s] + self.l[n - 1][t] * low
         return _add(llr, begin)
 
 
@@ -201,7 +206,7 @@ def _crc(id) -> int:
     return zlib.crc32(str(id).encode())
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", slots: int = SLOTS, order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS):
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS):
     """(model, curve) or (None, share of toxic labels)."""
     spark = docs.sparkSession
     ship(spark)
@@ -238,18 +243,18 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         for b in batches:
             if b.num_rows:
                 c = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], 1)
-                for n, (keys, total) in enumerate(gram_counts(b.column(0).to_pylist(), c, order, slots), 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n), pa.int32()), *(pa.array((keys[:, k] & _U(slots - 1)).astype(np.int64)) for k in range(3)), *(pa.array(total[:, k]) for k in (0, 1))], names=["n", "k", "h", "s", "n0", "n1"])
+                for n, (keys, total) in enumerate(gram_counts(b.column(0).to_pylist(), c, order), 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n), pa.int32()), *(pa.array(keys[:, k].astype(np.int64)) for k in range(3)), *(pa.array(total[:, k]) for k in (0, 1))], names=["n", "k", "h", "s", "n0", "n1"])
 
-    # n-grams meet by slot: at most order * slots rows come to the driver, whatever the corpus
-    grams = words.mapInArrow(spread, "n int, k long, h long, s long, n0 long, n1 long").groupBy("n", "k").agg(F.min("h").alias("h"), F.min("s").alias("s"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # one row for each distinct n-gram
+    grams = words.mapInArrow(spread, "n int, k long, h long, s long, n0 long, n1 long").groupBy("n", "k", "h", "s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     got = materialise(grams, "grams").toArrow()
     col = {c: got.column(c).to_numpy() for c in got.column_names}
     made = []
     for n in range(1, order + 1):
         at = col["n"] == n
         made.append((np.stack([col[c][at] for c in ("k", "h", "s")], 1).astype(np.uint64), np.stack([col[c][at] for c in ("n0", "n1")], 1)))
-    model = Model(made, order, slots)
+    model = Model(made, order)
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
