@@ -196,7 +196,10 @@ def components(fps: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of docs whose id is their component's smallest: one document of each group stays, all columns as they are."""
-    classes = near_duplicates(docs, id, text)
-    gone = classes.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+    """One row of each group of linked rows, all columns as they are: the row with the smallest id (null ids come last).
+    Rows that repeat an id are rows of their own, each in the group of its text; of those that repeat a group's smallest
+    id the one with the smallest fingerprint stays, and of equal ones the first as read."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = components(fingerprints(rows, "_row", text), "_row").join(rows.select("_row", F.col(id).alias("_id")), "_row")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "fingerprint", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    return rows.join(materialise(kept, "kept"), "_row", "left_semi").drop("_row")
