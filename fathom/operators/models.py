@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fathom.errors import need, need_columns
+from fathom.errors import need_columns
 
 
 def linear_model(df: DataFrame, y: str, xs: list[str], weight: Column | None = None, ridge: float = 0.0) -> DataFrame:
@@ -91,11 +93,16 @@ def logistic(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float
 
 
 def knn(points: DataFrame, queries: DataFrame, id: str, vector: str, label: str, k: int, most_queries: int = 50_000) -> DataFrame:
-    """Majority label of the k nearest points (squared distance, ties to smaller ids and labels); queries is a checked small set."""
-    need(queries.limit(most_queries + 1).count() <= most_queries, f"more than {most_queries} queries; ask in blocks")
-    q = F.broadcast(queries.select(F.col(id).alias("q_id"), F.col(vector).alias("_q")))
+    """Majority label of the k nearest points (squared distance, ties to smaller ids and labels). Queries are broadcast in
+    blocks of about most_queries, each exact by itself; queries that share an id are in one block."""
     d2 = F.aggregate(F.zip_with("_q", vector, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = points.join(q, F.col(id) != F.col("q_id")).select("q_id", id, label, d2.alias("d"))
-    near = near.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", id))).where(F.col("r") <= k)
+    asked = queries.select(F.col(id).alias("q_id"), F.col(vector).alias("_q"))
+    blocks = max(1, -(-asked.count() // most_queries))
+    answers = []
+    for block in range(blocks):
+        q = F.broadcast(asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block) if blocks > 1 else asked)
+        near = points.join(q, F.col(id) != F.col("q_id")).select("q_id", id, label, d2.alias("d"))
+        answers.append(near.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", id))).where(F.col("r") <= k))
+    near = reduce(DataFrame.union, answers)
     votes = near.groupBy("q_id", label).agg(F.count("*").alias("votes"))
     return votes.groupBy("q_id").agg(F.max_by(label, F.struct("votes", -F.col(label))).alias("predicted"))
