@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import columns, special
 from fathom.operators import graph, matrix, models, numeric, resampling, stats, timeseries
-from fathom.session import ship
+from fathom.session import materialise, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -425,6 +425,11 @@ def sssp_bounded(s, d):
     return x
 
 
+@query()
+def sssp(s, d):
+    return graph.shortest_paths(materialise(_edges(s, d), "edges"), 3)
+
+
 @query("""WITH k AS (SELECT user_id, epoch(ts) AS x, avg(value) AS y FROM events WHERE event_type = 'purchase' GROUP BY ALL), q AS (SELECT event_id, user_id, epoch(ts) AS x FROM events WHERE event_type <> 'purchase'),
 a AS (SELECT q.*, k.x AS ax, k.y AS ay FROM q ASOF LEFT JOIN k ON q.user_id = k.user_id AND q.x >= k.x), b AS (SELECT a.*, k.x AS bx, k.y AS byy FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.x <= k.x)
 SELECT event_id, user_id, CASE WHEN x = ax THEN ay ELSE ay + (x - ax) / (bx - ax) * (byy - ay) END AS y FROM b""")
