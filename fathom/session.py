@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,11 +30,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset: a folder of our own if all runs in
+    one process, else an error, as no folder of this machine would do."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = getattr(spark.sparkContext, "_fathom_dir", None)
         if not root:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="fathom-shared-")
             spark.sparkContext._fathom_dir = root
     return root.rstrip("/")
@@ -46,11 +50,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files of a finished write are of no more use, as what it wrote is in the shared folder.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fathom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what materialise() wrote for these tables, before the driver ends. No plan may read them any more."""
+    for t in tables:
+        path = t.__dict__.pop("_fathom_path", None)
+        if path:
+            remove(t.sparkSession, path)
+            _made.remove((t.sparkSession, path))
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name)
+        out.append(name)
+    return tuple(out)
 
 
 def remove(spark: SparkSession, path: str) -> None:
