@@ -11,3 +11,10 @@ def test_one_row_of_each_group_where_ids_repeat(spark):
     for keep in (simhash.keep_one, shingles.keep_one):
         got = sorted(((r.doc_id, r.text) for r in keep(docs).collect()), key=str)
         assert got == sorted([(5, X), (3, Y), (2, Z), (None, "alone in its group")], key=str)
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    rows = [(1, X, 7, 8), (1, X, 7, 8), (2, Y, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int, _T int")
+    got = shingles.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, X, 7, 8), (2, Y, 7, 8)]
