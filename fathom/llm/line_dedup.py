@@ -1,16 +1,18 @@
 """Incremental, reversible line deduplication: sharded cuckoo filters over exact reference counts.
 
 A line's key is the line with white space stripped at both ends and A-Z lower-cased; keys are held as 96-bit hashes.
-A shard holds, for its part of the keys, an exact table (key, number of documents, largest id and, in a stored index,
-the ids) and a cuckoo filter of the keys that are in at least min_docs documents. Lines are first looked up in the
-filter; only its hits are looked up in the table, which decides. Inserting documents raises counts, and a key that
-reaches min_docs enters the filter; deleting documents lowers them, and a key that falls below leaves it.
+A shard holds, for its part of the keys, an exact table (key, number of documents, largest id) and a cuckoo filter of the
+keys that are in at least min_docs documents. Inserting documents raises counts, and a key that reaches min_docs enters
+the filter; deleting documents lowers them, and a key that falls below leaves it. Lines are first looked up in the filter;
+only its hits are looked up in the table, which decides.
 
-Bulk path (drop_lines): groups of documents send each shard every key once with a count and largest id, shards build
-table and filter and answer with the keys to drop, groups cut their lines. LineIndex is the incremental form.
+Bulk path (drop_lines): groups of documents send each shard every key once with a count and largest id, the shard takes
+them in, the same keys probe it, and it answers with those to drop; groups cut their lines. LineIndex is the stored,
+incremental form, with the same Shard.
 
 Null or empty text: one empty line. Lines of fewer than min_points code points are never dropped. A document is a row;
-rows that repeat an id count as one document when they hold the same key. Ids must be integers.
+rows that repeat an id count as one document when they hold the same key, and meet in one group for that. Rows with a null
+id lose no line and count for none. Ids must be integers. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from fathom.llm.exchange import bucket_of, grouped, split_by
 from fathom.llm.text import mix
-from fathom.session import materialise, new_path, remove, ship
+from fathom.session import new_path, ship
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_POINTS, MIN_DOCS = 20, 3
@@ -57,6 +59,10 @@ class CuckooFilter:
         mask = _U(len(self.table) - 1)
         return (i.astype(np.uint64) ^ ((mark.astype(np.uint64) * _U(0x5BD1E995)) & mask)).astype(np.int64)
 
+    def room(self, n: int) -> bool:
+        """Whether n more hashes can be added without crowding."""
+        return int((self.table != 0).sum()) + len(self.stash) + n <= 0.85 * self.table.size
+
     def contains(self, h: np.ndarray) -> np.ndarray:
         mark, i, j = self._places(h)
         hit = (self.table[i] == mark[:, None]).any(1) | (self.table[j] == mark[:, None]).any(1)
@@ -131,27 +137,86 @@ def _keyed(text: bytes | None, min_points: int) -> list[bytes | None]:
     return out
 
 
+_ASK = np.dtype([("k", "<u8"), ("k2", "<u4"), ("n", "<u4"), ("top", "<i8")])
+
+
 def _table(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), _ASK)
 
 
-_ASK = np.dtype([("k", "<u8"), ("k2", "<u4"), ("n", "<u4"), ("top", "<i8")])
+class Shard:
+    """The exact table of a part of the keys (in order: key, number of documents, largest id) and the cuckoo filter of those
+    that are in at least min_docs documents."""
+
+    def __init__(self, min_docs: int = MIN_DOCS, table: np.ndarray | None = None, filter: CuckooFilter | None = None):
+        self.min_docs = min_docs
+        self.table = np.zeros(0, _ASK) if table is None else table
+        self.filter = CuckooFilter(64) if filter is None else filter
+
+    def update(self, changed: np.ndarray) -> None:
+        """Takes new counts and largest ids of keys, each key once; a count of 0 takes the key out. Keys that reach min_docs
+        enter the filter, keys that fall below leave it."""
+        both = np.concatenate([self.table, changed])
+        new = np.repeat([False, True], [len(self.table), len(changed)])
+        order = np.lexsort((new, both["k2"], both["k"]))
+        t, new = both[order], new[order]
+        replaced = np.zeros(len(t), bool)
+        replaced[:-1] = (t["k"][1:] == t["k"][:-1]) & (t["k2"][1:] == t["k2"][:-1])
+        was, now = t["n"] >= self.min_docs, (t["n"] >= self.min_docs) & new
+        before = np.zeros(len(t), bool)
+        before[1:] = (replaced & was)[:-1]
+        leaves, enters = t["k"][new & before & ~now], t["k"][now & ~before]
+        self.table = t[~replaced & (t["n"] > 0)]
+        self.filter.remove(leaves)
+        if not self.filter.room(len(enters)):
+            active = self.table["k"][self.table["n"] >= self.min_docs]
+            self.filter = CuckooFilter(2 * len(active))
+            self.filter.add(active)
+        else:
+            self.filter.add(enters)
+
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of keys (fields k and k2) are in min_docs documents or more, and the largest id of each: the filter is asked
+        first, and only its hits are looked up in the table."""
+        hit = np.flatnonzero(self.filter.contains(np.ascontiguousarray(keys["k"]))) if len(keys) else np.zeros(0, np.int64)
+        x = keys[hit]
+        at, end = (np.searchsorted(self.table["k"], x["k"], side) for side in ("left", "right"))
+        ok, top = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+        # keys with equal first halves stand side by side, rarely more than one
+        for step in range(int((end - at).max()) if len(x) else 0):
+            here = np.flatnonzero(at + step < end)
+            row = self.table[at[here] + step]
+            same = (row["k2"] == x["k2"][here]) & (row["n"] >= self.min_docs)
+            ok[here[same]], top[here[same]] = True, row["top"][same]
+        return hit[ok], top[ok]
+
+    def dump(self) -> bytes:
+        return np.int64(len(self.table)).tobytes() + self.table.tobytes() + self.filter.dump()
+
+    @classmethod
+    def load(cls, raw: bytes, min_docs: int) -> Shard:
+        end = 8 + int(np.frombuffer(raw, np.int64, 1)[0]) * _ASK.itemsize
+        return cls(min_docs, np.frombuffer(raw[8:end], _ASK), CuckooFilter.load(raw[end:]))
 
 
-def count_keys(asked: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact table of a shard: order of asked by key, start of each key there, and whether each key is in min_docs documents."""
-    order = np.lexsort((asked["k2"], asked["k"]))
-    a = asked[order]
+def totals(asked: np.ndarray) -> np.ndarray:
+    """One row a key: counts added, the largest id."""
+    a = asked[np.lexsort((asked["k2"], asked["k"]))]
+    if not len(a):
+        return a
     new = np.ones(len(a), bool)
     new[1:] = (a["k"][1:] != a["k"][:-1]) | (a["k2"][1:] != a["k2"][:-1])
     at = np.flatnonzero(new)
-    return order, at, np.add.reduceat(a["n"].astype(np.int64), at) >= min_docs if len(at) else np.zeros(0, bool)
+    out = a[at].copy()
+    out["n"] = np.minimum(np.add.reduceat(a["n"].astype(np.int64), at), 0xFFFFFFFF)
+    out["top"] = np.maximum.reduceat(a["top"], at)
+    return out
 
 
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, rest: bool = False) -> DataFrame:
     """(id, text, n_lines, n_dropped) for each row: text without the lines whose key is in min_docs documents or more,
     unless this is the document with the largest id that holds the key. rest: all other columns of docs too, as a struct."""
-    groups = grouped(docs, id, text, rest=rest)
+    groups = grouped(docs, id, text, rest=rest, whole_ids=True)
     rest = "rest" in groups.docs.columns
     shards = groups.buckets(1 << 18, 80)
 
@@ -175,22 +240,11 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_poin
         blobs = table.column("asked").to_pylist()
         asked = _table(blobs)
         sender = np.repeat(np.array(table.column("g").to_pylist(), np.int64), [len(b) // _ASK.itemsize for b in blobs])
-        order, at, often = count_keys(asked, min_docs)
-        sizes = np.diff(np.append(at, len(order)))
-        a, sender = asked[order], sender[order]
-        active = a[at[often]]
-        table_top = np.maximum.reduceat(a["top"], at)[often] if len(at) else np.zeros(0, np.int64)
-        filt = CuckooFilter(len(active))
-        filt.add(active["k"])
-        # all keys pass the filter first, its hits are confirmed by the exact table
-        hit = np.flatnonzero(np.repeat(filt.contains(a["k"][at]), sizes)) if len(at) else np.zeros(0, np.int64)
-        where = np.searchsorted(at[often], hit, "right") - 1
-        ok = where >= 0
-        hit, where = hit[ok], where[ok]
-        ok = (active["k"][where] == a["k"][hit]) & (active["k2"][where] == a["k2"][hit])
-        hit, where = hit[ok], where[ok]
-        out = a[hit].copy()
-        out["top"] = table_top[where]
+        shard = Shard(min_docs)
+        shard.update(totals(asked))
+        hit, top = shard.probe(asked)
+        out = asked[hit]
+        out["top"] = top
         parts = split_by(sender[hit], out)
         return pa.table({"g": pa.array([k for k, _ in parts], pa.int64()), "found": pa.array([p[0].tobytes() for _, p in parts], pa.binary())})
 
@@ -219,25 +273,39 @@ def digest(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("kept_sha256", F.sha2(F.col(text).cast("binary"), 256)).drop(text)
 
 
+_POSTING = "shard int, key binary, doc long"
+
+
 class LineIndex:
-    """A stored index: postings(key, doc) are the exact reference table, filters(shard, filter) the cuckoo filters of the
-    keys with at least min_docs documents. insert and delete write a new version and leave the old one as it is."""
+    """A stored index that takes insertions and deletions. Each version holds what it changed only: delta(shard, key, doc,
+    sign), whose sums are the postings, and the changed shards (shard, state), tables and filters as in Shard. insert and
+    delete write a new version and leave the old ones as they are; a version has one successor.
+
+    shards: how many; each is one task's, at 24 bytes a distinct key, so set it for the corpus that is to come (about one
+    to 20 MB of text). create() takes it from the first documents, if given."""
 
     def __init__(self, spark, path: str, version: int = 0, shards: int = 16, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS):
         self.spark, self.path, self.version, self.shards, self.min_points, self.min_docs = spark, path.rstrip("/"), version, shards, min_points, min_docs
 
     @classmethod
-    def create(cls, spark, path: str | None = None, **kw) -> LineIndex:
+    def create(cls, spark, path: str | None = None, docs: DataFrame | None = None, text: str = "text", **kw) -> LineIndex:
+        if docs is not None and "shards" not in kw:
+            kw["shards"] = 16 + (docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // (5 << 20)
         self = cls(spark, path or new_path(spark, "line-index"), **kw)
-        spark.createDataFrame([], "shard int, key binary, doc long").write.parquet(f"{self.path}/v0/postings")
-        spark.createDataFrame([], "shard int, filter binary").write.parquet(f"{self.path}/v0/filters")
+        spark.createDataFrame([], f"{_POSTING}, sign int").write.parquet(f"{self.path}/delta/v=0")
+        spark.createDataFrame([], "shard int, state binary").write.parquet(f"{self.path}/shards/v=0")
         return self
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("shard int, key binary, doc long").parquet(f"{self.path}/v{self.version}/postings")
+        """(shard, key, doc): which documents hold a key."""
+        delta = self.spark.read.schema(f"{_POSTING}, sign int, v int").parquet(f"{self.path}/delta").where(F.col("v") <= self.version)
+        return delta.groupBy("shard", "key", "doc").agg(F.sum("sign").alias("sign")).where("sign > 0").select("shard", "key", "doc")
 
-    def filters(self) -> DataFrame:
-        return self.spark.read.schema("shard int, filter binary").parquet(f"{self.path}/v{self.version}/filters")
+    def states(self) -> DataFrame:
+        """(shard, state): the newest of each shard."""
+        all_ = self.spark.read.schema("shard int, state binary, v int").parquet(f"{self.path}/shards").where(F.col("v") <= self.version)
+        newest = all_.groupBy("shard").agg(F.max("v").alias("v"))
+        return all_.join(newest, ["shard", "v"]).select("shard", "state")
 
     def _lines(self, docs: DataFrame, id: str, text: str) -> DataFrame:
         ship(self.spark)
@@ -253,69 +321,64 @@ class LineIndex:
                 shard = [int.from_bytes(k[4:8], "little") * shards >> 32 for k in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["shard", "key", "doc"])
 
-        return docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "shard int, key binary, doc long").distinct()
+        return docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _POSTING).distinct()
 
-    def _active(self, postings: DataFrame) -> DataFrame:
-        return postings.groupBy("shard", "key").agg(F.count("*").alias("n"), F.max("doc").alias("top")).where(F.col("n") >= self.min_docs)
-
-    def _next(self, postings: DataFrame) -> LineIndex:
-        """Writes the next version: postings, and each shard's filter changed by the keys that became or ceased to be active."""
+    def _changed(self, ids: DataFrame, lines: DataFrame | None) -> LineIndex:
+        """The next version, in which documents ids hold lines and nothing else."""
         new = LineIndex(self.spark, self.path, self.version + 1, self.shards, self.min_points, self.min_docs)
-        postings.write.parquet(f"{new.path}/v{new.version}/postings")
-        before = self._active(self.postings()).select("shard", "key", F.lit(1).alias("was"))
-        after = self._active(new.postings()).select("shard", "key", F.lit(1).alias("is"))
-        changed = before.join(after, ["shard", "key"], "full").where("was is null or is is null").select("shard", "key", F.col("is").isNotNull().alias("enters"))
-
-        def change(left: pa.Table, right: pa.Table) -> pa.Table:
-            hashes = lambda on: np.array([int.from_bytes(k[:8], "little") for k, e in zip(right.column("key").to_pylist(), right.column("enters").to_pylist(), strict=True) if e == on], np.uint64)
-            old = CuckooFilter.load(left.column("filter")[0].as_py()) if left.num_rows else CuckooFilter(64)
-            enters, leaves = hashes(True), hashes(False)
-            old.remove(leaves)
-            held = int((old.table != 0).sum()) + len(old.stash) + len(enters)
-            if held > 0.85 * old.table.size:  # too full: the caller's table has every key, so build anew from it
-                return pa.table({"shard": pa.array([_shard(left, right)], pa.int32()), "filter": pa.array([None], pa.binary())})
-            old.add(enters)
-            return pa.table({"shard": pa.array([_shard(left, right)], pa.int32()), "filter": pa.array([old.dump()], pa.binary())})
-
-        def build(table: pa.Table) -> pa.Table:
-            h = np.array([int.from_bytes(k[:8], "little") for k in table.column("key").to_pylist()], np.uint64)
-            f = CuckooFilter(2 * len(h))
-            f.add(h)
-            return pa.table({"shard": table.column("shard").slice(0, 1), "filter": pa.array([f.dump()], pa.binary())})
-
-        filters = materialise(self.filters().groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(change, "shard int, filter binary"), "filters")
-        full = self._active(new.postings()).join(filters.where("filter is null").select("shard"), "shard", "left_semi")
-        rebuilt = full.groupBy("shard").applyInArrow(build, "shard int, filter binary")
-        filters.where("filter is not null").unionByName(rebuilt).write.parquet(f"{new.path}/v{new.version}/filters")
+        old = self.postings()
+        gone = old.join(ids, "doc", "left_semi").select("shard", "key", "doc", F.lit(-1).alias("sign"))
+        change = gone if lines is None else gone.union(lines.select("shard", "key", "doc", F.lit(1).alias("sign")))
+        change.groupBy("shard", "key", "doc").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").write.parquet(f"{new.path}/delta/v={new.version}")
+        touched = self.spark.read.schema(f"{_POSTING}, sign int").parquet(f"{new.path}/delta/v={new.version}").select("shard", "key").distinct()
+        counts = touched.join(new.postings(), ["shard", "key"], "left").groupBy("shard", "key").agg(F.count("doc").alias("n"), F.coalesce(F.max("doc"), F.lit(0).cast("long")).alias("top"))
+        min_docs = self.min_docs
+
+        def update(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows:
+                return pa.table({"shard": pa.array([], pa.int32()), "state": pa.array([], pa.binary())})
+            shard = Shard.load(left.column("state")[0].as_py(), min_docs) if left.num_rows else Shard(min_docs)
+            shard.update(_asked(right))
+            return pa.table({"shard": right.column("shard").slice(0, 1), "state": pa.array([shard.dump()], pa.binary())})
+
+        self.states().groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(update, "shard int, state binary").write.parquet(f"{new.path}/shards/v={new.version}")
         return new
 
     def insert(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> LineIndex:
-        """Adds documents; ids must not be in the index yet (delete them first)."""
-        return self._next(self.postings().unionByName(self._lines(docs, id, text)).distinct())
+        """Adds documents. One that is in the index already is replaced; rows that repeat an id are one document."""
+        ids = docs.select(F.col(id).cast("long").alias("doc")).where("doc is not null").distinct()
+        return self._changed(ids, self._lines(docs, id, text))
 
     def delete(self, ids: DataFrame, id: str = "doc_id") -> LineIndex:
-        gone = ids.select(F.col(id).cast("long").alias("doc")).distinct()
-        return self._next(self.postings().join(gone, "doc", "left_anti").select("shard", "key", "doc"))
+        """Takes documents out; ids that are not in the index change nothing."""
+        return self._changed(ids.select(F.col(id).cast("long").alias("doc")).where("doc is not null").distinct(), None)
 
     def drops(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, key) of the lines to drop: filter first, hits confirmed by the exact table."""
         ship(self.spark)
+        min_docs = self.min_docs
 
         def probe(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
-                return left.slice(0, 0)
-            h = np.array([int.from_bytes(k[:8], "little") for k in left.column("key").to_pylist()], np.uint64)
-            return left.filter(pa.array(CuckooFilter.load(right.column("filter")[0].as_py()).contains(h)))
+                return left.slice(0, 0).select(["doc", "key"])
+            hit, top = Shard.load(right.column("state")[0].as_py(), min_docs).probe(_keys(left))
+            doc = left.column("doc").to_numpy()[hit]
+            return left.select(["doc", "key"]).take(pa.array(hit[doc != top]))
+
+        return self._lines(docs, id, text).groupBy("shard").cogroup(self.states().groupBy("shard")).applyInArrow(probe, "doc long, key binary")
 
-        hits = self._lines(docs, id, text).groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(probe, "shard int, key binary, doc long")
-        return hits.join(self._active(self.postings()), ["shard", "key"]).where("doc <> top").select("doc", "key")
 
-    def drop_version(self) -> None:
-        remove(self.spark, f"{self.path}/v{self.version}")
+def _keys(table: pa.Table) -> np.ndarray:
+    raw = np.frombuffer(b"".join(table.column("key").to_pylist()), np.dtype([("k", "<u8"), ("k2", "<u4"), ("rest", "<u4")]))
+    out = np.zeros(len(raw), _ASK)
+    out["k"], out["k2"] = raw["k"], raw["k2"]
+    return out
 
 
-def _shard(left: pa.Table, right: pa.Table) -> int:
-    return (left if left.num_rows else right).column("shard")[0].as_py()
+def _asked(table: pa.Table) -> np.ndarray:
+    out = _keys(table)
+    out["n"], out["top"] = table.column("n").to_numpy(), table.column("top").to_numpy()
+    return out
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
@@ -324,4 +387,4 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", **kw) -
     return out.select(*(F.col(c) if c in (id, text) else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
-__all__ = ["CuckooFilter", "LineIndex", "dedup_lines", "digest", "drop_lines"]
+__all__ = ["CuckooFilter", "LineIndex", "Shard", "dedup_lines", "digest", "drop_lines"]
