@@ -32,13 +32,15 @@ class Groups:
         return max(LEAST, int(self.n_bytes / bytes_each / per_bucket) + 1)
 
 
-def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, rest: bool = False) -> Groups:
+def grouped(docs: DataFrame, id: str = "doc_id", text: str = "text", group_bytes: int = GROUP_BYTES, rest: bool = False, whole_ids: bool = False) -> Groups:
+    """whole_ids: rows that repeat an id are in one group; else, and for null ids, they are dealt out by their texts too."""
     ship(docs.sparkSession)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id, text)]
     d = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), *([F.struct(*others).alias("rest")] if rest and others else []))
     n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(LEAST, n_bytes // group_bytes + 1)
-    return Groups(d.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("g"), "*"), n_bytes, n)
+    by = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")) if whole_ids else F.xxhash64("id", "text")
+    return Groups(d.select(F.pmod(by, F.lit(n)).alias("g"), "*"), n_bytes, n)
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -15,8 +15,9 @@ block of `window // 2` words, so:
 Counts are pre-aggregated in each group before both shuffles, so a passage in a third of all documents is one entry a
 group. The answer does not depend on truncation: step 1 may let more candidates through, never fewer.
 
-Null text: no words. Words are compared as they are. Rows with the same id are put in order by text and then count as
-one document after another. Removed words leave the others joined by one space. Rows with a null id come first.
+Null text: no words. Words are compared as they are. Rows with the same id count as one document after another, in order
+of a hash of their texts (so a repeated id is no hot group). Removed words leave the others joined by one space. Rows with
+a null id come first. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ def _code(h: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, text, n_words, n_removed) for each row; text: the kept words joined by one space."""
+    if window < 2:
+        raise ValueError("a window has two words at least")
     groups = grouped(docs, id, text)
     block = window // 2
     n1, n2 = groups.buckets(1 << 20, 6), groups.buckets(1 << 20, 24)
@@ -165,7 +168,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         groups_of = table.column("g").to_pylist()
         a = np.frombuffer(b"".join(blobs), _ASK)
         sender = np.repeat(np.array(groups_of, np.int64), [len(b) // _ASK.itemsize for b in blobs])
-        order = np.lexsort((a["doc"], a["k2"], a["k"]))
+        # rows that repeat an id stand in order of their groups
+        order = np.lexsort((sender, a["doc"], a["k2"], a["k"]))
         a, sender = a[order], sender[order]
         later = np.zeros(len(a), bool)
         later[1:] = (a["k"][1:] == a["k"][:-1]) & (a["k2"][1:] == a["k2"][:-1])
