@@ -3,13 +3,14 @@
 A page becomes a light tree of its block elements. Elements that cannot hold the article (menus, headers, footers,
 asides, forms, scripts, styles, and those whose class, id or role says advert, sidebar, notice, comments and the like) are
 left out. Every paragraph, a run of text in one block, has points: one, one for each comma, and one for each hundred
-characters up to three. They pass to its container whole, to the container above by half, then a third, and so on, and
-a container's points are cut by its link density. The best container and those of its siblings that score well, or
-read like prose, are the text.
+characters up to three. They pass to its container whole, to the container above by half, to the next three by a sixth,
+a ninth and a twelfth, and a container's points are cut by its link density. The container of a paragraph is the element
+above it; a div or section of LONG characters without blocks inside is a paragraph, too. The best container and those of its siblings that
+score well, or read like prose, are the text. All of this takes time in proportion to the page, however deep it nests.
 
 Character references are decoded. White space in a block becomes one space, blocks are trimmed and joined by one space.
 Null, empty or text-free pages give an empty text. Broken markup (unclosed or stray tags, cut pages) is read as far as
-it goes. Pages are read whole.
+it goes. Pages are read whole. Repeated rows are read one by one; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -47,18 +48,31 @@ NOISE = {
 #: An opening tag that ends an open one of these.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _PROSE = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
+_ITEM = set().union(*_CLOSES.values()) | set(_CLOSES)
+_LIST = {"ul", "ol", "dl", "table", "tbody", "thead", "select"}
+LONG = 80
+#: Shares of a paragraph's points that its container and those above it get.
+_SHARES = (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12)
 
 
 class _Node:
-    __slots__ = ("name", "parent", "dropped", "score", "chars", "linked", "blocks", "kids")
+    __slots__ = ("name", "parent", "dropped", "score", "chars", "linked", "kids", "para", "item", "chosen")
 
     def __init__(self, name: str, parent: _Node | None, dropped: bool):
         self.name, self.parent, self.dropped = name, parent, dropped or (parent is not None and parent.dropped)
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.chosen = 0.0, 0, 0, False
         self.kids: list[_Node] = []
+        #: the nearest paragraph, and the nearest list item or table cell of the same list, from here upward
+        self.para = self if name == "p" else parent and parent.para
+        self.item = self if name in _ITEM else None if name in _LIST else parent and parent.item
         if parent is not None:
             parent.kids.append(self)
 
+    def container(self, size: int) -> _Node:
+        """Where the points of a paragraph of this size go first: loose text stands in its container itself."""
+        paragraph = self.name in _PROSE or self.name in ("div", "section") and not self.kids and size >= LONG
+        return self.parent if paragraph and self.parent is not None else self
+
 
 def _noise(name: str, attrs: str) -> bool:
     if name in _DROP:
@@ -77,9 +91,10 @@ def _noise(name: str, attrs: str) -> bool:
     return False
 
 
-def _parse(page: str) -> tuple[_Node, list[tuple[str, int, _Node]]]:
-    """The root, and the text blocks in page order: text, characters of it in links, element."""
+def _parse(page: str) -> tuple[list[_Node], list[tuple[str, int, _Node]]]:
+    """All elements in page order, the root first, and the text blocks in page order: text, characters of it in links, element."""
     root = _Node("#root", None, False)
+    nodes, opened = [root], {}
     node, links, at = root, 0, 0
     blocks: list[tuple[str, int, _Node]] = []
     run: list[str] = []
@@ -102,6 +117,13 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, int, _Node]]]:
             run.clear()
             linked = 0
 
+    def leave(upto: _Node) -> None:
+        """Closes the open elements below upto."""
+        nonlocal node
+        while node is not upto:
+            opened[node.name] -= 1
+            node = node.parent
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -119,12 +141,11 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, int, _Node]]]:
             if name == "a":
                 links = max(0, links - 1)
             elif name not in _INLINE:
-                up = node
-                while up is not root and up.name != name:
-                    up = up.parent
-                if up is not root:
+                if opened.get(name):
                     flush()
-                    node = up.parent
+                    while node.name != name:
+                        leave(node.parent)
+                    leave(node.parent)
                     links = 0
                 elif name in ("p", "br"):
                     flush()
@@ -147,83 +168,74 @@ def _parse(page: str) -> tuple[_Node, list[tuple[str, int, _Node]]]:
         if name in _VOID:
             continue
         if (ends := _CLOSES.get(name)) is not None:
-            up = node
-            while up is not root and up.name not in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
-                if up.name in ends:
-                    node = up.parent
-                up = up.parent
+            while (up := node.item) is not None:
+                while up is not None and up.name not in ends:
+                    up = up.parent.item
+                if up is None:
+                    break
+                leave(up.parent)
         # a paragraph ends where the next block begins
-        up = node
-        while up is not root and up.name != "p":
-            up = up.parent
-        if up is not root:
-            node = up.parent
+        if node.para is not None:
+            leave(node.para.parent)
         links = 0
         node = _Node(name, node, _noise(name, m["attrs"]))
+        nodes.append(node)
+        opened[name] = opened.get(name, 0) + 1
         if m["attrs"].rstrip().endswith("/") and name not in ("p", "div", "article", "section"):
-            node = node.parent
+            leave(node.parent)
     flush()
-    return root, blocks
+    return nodes, blocks
+
+
+def points(text: str, linked: int) -> float:
+    """Points of a paragraph of which linked characters stand in links."""
+    n = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) // 100, 3)
+    return n * (1 - linked / len(text))
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root, blocks = _parse(page)
+    nodes, blocks = _parse(page)
     if not blocks:
         return ""
     for s, linked, node in blocks:
-        points = 1 + s.count(",") + s.count("、") + s.count("，") + min(len(s) // 100, 3)
-        points *= 1 - linked / len(s)
-        # a paragraph's container is the element above it; loose text stands in its container itself
-        up = node.parent if node.name in _PROSE and node.parent is not None else node
-        level = 0
-        while up is not None:
-            up.score += points if level == 0 else points / (2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-        up = node
-        while up is not None:
-            up.chars += len(s)
-            up.linked += linked
-            up = up.parent
+        own, up = points(s, linked), node.container(len(s))
+        for share in _SHARES:
+            up.score += own * share
+            if (up := up.parent) is None:
+                break
+        node.chars += len(s)
+        node.linked += linked
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.linked += x.linked
 
     def final(x: _Node) -> float:
         return x.score * (1 - x.linked / x.chars) if x.chars else 0.0
 
-    best, most = root, -1.0
-    stack = [root]
-    while stack:
-        x = stack.pop()
+    best, most = nodes[0], -1.0
+    for x in nodes:
         if not x.dropped and x.chars and (f := final(x)) > most:
             best, most = x, f
-        stack.extend(reversed(x.kids))
     # a list, table or quotation inside prose is not the article by itself
     while best.parent is not None and best.name in ("ul", "ol", "dl", "table", "tbody", "thead", "tr", "td", "li", "blockquote", "p", "pre"):
         best = best.parent
     up = best.parent
     while up is not None and up.name in ("article", "main") and not up.dropped:
         best, up = up, up.parent
-    chosen = {id(best)}
+    best.chosen, beside = True, None
     if best.parent is not None and best.name not in ("article", "main", "body"):
         least = max(10.0, 0.2 * most)
         for x in best.parent.kids:
             density = x.linked / x.chars if x.chars else 1.0
             if x.name in _PROSE and x.chars and density < 0.25 or final(x) >= least and density < 0.25:
-                chosen.add(id(x))
+                x.chosen = True
         # loose text beside the container
-        chosen.add(-id(best.parent))
-    out = []
-    for s, _, node in blocks:
-        if -id(node) in chosen:
-            out.append(s)
-            continue
-        up = node
-        while up is not None:
-            if id(up) in chosen:
-                out.append(s)
-                break
-            up = up.parent
-    return " ".join(out)
+        beside = best.parent
+    for x in nodes[1:]:
+        x.chosen = x.chosen or x.parent.chosen
+    return " ".join(s for s, _, node in blocks if node.chosen or node is beside)
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
