@@ -6,20 +6,29 @@ problem: how many sequences of which pattern (how many rests of each class)? A l
 column generation, a knapsack over class sizes prices new patterns, and rounded-down patterns plus first-fit
 decreasing for what rounding leaves cover all rests. Rests are ranked in their class, and a rank gives sequence and slot.
 
-The histogram has at most capacity / UNIT rows whatever the size of the corpus, so the program runs on the driver. Ranks
-come from counts by (input partition, class) and running sums, so no class has to meet in one task.
-
-Null text counts as empty: a document of the end id alone. Each row is a document, repeated ids too.
+The histogram has at most capacity / UNIT rows whatever the size of the corpus, so the program runs on the driver. It
+starts from first-fit-decreasing patterns; one knapsack table prices a batch of patterns, one for each size it must hold,
+and these enter the basis while they pay. It ends within GAP of its lower bound; if ROUNDS tables do not get there, a
+warning gives the gap, and the packing is valid all the same. Ranks come from counts by (input partition, class) and
+running sums, so no class has to meet in one task; a table read in the same partitions is packed the same way each time.
+
+Padding: a full sequence needs none. Other sequences are as full as the program makes them; a sequence whose length is a
+power of two needs none either, and no pattern aims at that: one below the capacity would leave half of it empty, which
+takes more sequences than the padding it saves.
+
+Null text counts as empty: a document of the end id alone. Each row is a document, repeated ids too. Other columns may
+have any names.
 """
 
 from __future__ import annotations
 
-import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,68 +37,116 @@ from fathom.llm.tokens import encoder, vocabulary
 from fathom.session import materialise, ship
 
 CAPACITY, UNIT = 4096, 8
-#: Column generation ends when the program is this near to its lower bound.
+#: Column generation ends when the program is this near to its lower bound, or after so many knapsacks.
 GAP, ROUNDS = 4e-3, 4000
-
-
-def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: best value, and how often each item is taken."""
-    use = np.flatnonzero(value > 1e-12)
-    count = np.zeros(len(value), np.int64)
-    if not len(use):
-        return 0.0, count
-    order = use[np.argsort(size[use], kind="stable")]
-    w, v = size[order], value[order]
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(w, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            x = best[c - w[:k]] + v[:k]
-            i = int(x.argmax())
+#: Patterns priced by one knapsack table.
+BATCH = 96
+
+
+class Knapsack:
+    """Unbounded knapsack by dynamic programming over all capacities up to one."""
+
+    def __init__(self, value: np.ndarray, size: np.ndarray, capacity: int):
+        self.value, self.size, self.capacity = value, size, capacity
+        use = np.flatnonzero(value > 1e-12)
+        order = use[np.argsort(size[use], kind="stable")]
+        w, v = size[order], value[order]
+        best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(w, np.arange(capacity + 1), "right").tolist()
+        back = (-w).tolist()
+        for c in range(back and -back[0] or capacity + 1, capacity + 1):
+            best[c] = best[c - 1]
+            x = best[c - w[: upto[c]]] + v[: upto[c]]
+            i = x.argmax()
             if x[i] > best[c] + 1e-15:
                 best[c], took[c] = x[i], i
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            count[order[took[c]]] += 1
-            c -= int(w[took[c]])
-    return float(best[capacity]), count
+        self.best, self.took, self.order = best, took, order
+
+    def most(self) -> float:
+        return float(self.best[self.capacity])
+
+    def holding(self) -> np.ndarray:
+        """The value of the best pattern that holds each item."""
+        return self.value + self.best[self.capacity - self.size]
+
+    def pattern(self, item: int | None = None) -> np.ndarray:
+        """How often the best pattern (that holds item) takes each item."""
+        count = np.zeros(len(self.value), np.int64)
+        c = self.capacity
+        if item is not None:
+            count[item] += 1
+            c -= int(self.size[item])
+        while c > 0:
+            if self.took[c] < 0:
+                c -= 1
+            else:
+                i = self.order[self.took[c]]
+                count[i] += 1
+                c -= int(self.size[i])
+        return count
+
+
+def _first_fit(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For each size a pattern that begins with as many of it as fit and takes the largest that still fit then."""
+    out = []
+    by = np.argsort(-size, kind="stable")
+    for i in range(len(size)):
+        c = np.zeros(len(size), np.int64)
+        c[i] = max(1, min(capacity // size[i], int(demand[i])))
+        room = capacity - int(c[i] * size[i])
+        for k in by.tolist():
+            if k < i and size[k] <= room and demand[k]:
+                n = min(room // int(size[k]), int(demand[k]))
+                c[k] += n
+                room -= n * int(size[k])
+        out.append(c)
+    return out
 
 
 def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """Patterns (items of each size) and how often each is used, covering demand exactly; and a lower bound on their number."""
+    """Patterns (items of each size) and how often each is used, covering demand exactly; and a lower bound on their number.
+    Sizes ascend."""
     n = len(size)
     if not n:
         return [], 0.0
-    columns = [np.zeros(n) for _ in range(n)]
-    for i in range(n):
-        columns[i][i] = capacity // size[i]
+    columns = [np.where(np.arange(n) == i, capacity // size[i], 0).astype(float) for i in range(n)]
     inverse = np.diag([1.0 / columns[i][i] for i in range(n)])
     x = demand / np.array([columns[i][i] for i in range(n)])
-    bound = 0.0
-    for k in range(rounds):
-        price = inverse.sum(0)
-        value, new = knapsack(price, size, capacity)
-        bound = max(bound, x.sum() / max(value, 1.0))
-        if value <= 1 + 1e-9 or x.sum() - bound <= gap * bound:
+    bound, pivots, good = 0.0, 0, False
+    pool = np.array(_first_fit(size, demand, capacity), float)
+    for _ in range(rounds):
+        while len(pool):
+            # the pattern of the pool that pays most enters the basis
+            worth = np.einsum("ij,j->i", pool, inverse.sum(0))
+            at = int(worth.argmax())
+            if worth[at] <= 1 + 1e-6:
+                break
+            new, pool = pool[at], np.delete(pool, at, 0)
+            step = np.einsum("ij,j->i", inverse, new)  # small: threads of a matrix library would cost more than they give
+            up = np.flatnonzero(step > 1e-9)
+            ratio = x[up] / step[up]
+            out = up[int(ratio.argmin())]
+            t = max(0.0, float(ratio.min()))
+            x = x - t * step
+            x[out] = t
+            columns[out] = new
+            pivot = inverse[out] / step[out]
+            inverse -= np.outer(step, pivot)
+            inverse[out] = pivot
+            pivots += 1
+            if pivots % 200 == 0:  # numerical drift
+                inverse = np.linalg.inv(np.array(columns).T)
+                x = np.maximum(inverse @ demand, 0)
+        table = Knapsack(inverse.sum(0), size, capacity)
+        bound = max(bound, x.sum() / max(table.most(), 1.0))
+        good = table.most() <= 1 + 1e-9 or x.sum() - bound <= gap * bound
+        if good:
             break
-        step = np.einsum("ij,j->i", inverse, new)  # small: threads of a matrix library would cost more than they give
-        up = np.flatnonzero(step > 1e-9)
-        ratio = x[up] / step[up]
-        out = up[int(ratio.argmin())]
-        t = max(0.0, float(ratio.min()))
-        x = x - t * step
-        x[out] = t
-        columns[out] = new.astype(float)
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-        if k % 200 == 199:  # numerical drift
-            inverse = np.linalg.inv(np.array(columns).T)
-            x = np.maximum(inverse @ demand, 0)
+        holding = table.holding()
+        best = np.argsort(-holding, kind="stable")[:BATCH]
+        pool = np.unique(np.array([table.pattern(), *(table.pattern(int(i)) for i in best if holding[i] > 1 + 1e-6)], float), axis=0)
+    if not good:
+        warnings.warn(f"packing stopped after {rounds} rounds: {x.sum():.1f} sequences, at least {bound:.1f} are needed", stacklevel=2)
     left = demand.copy()
     used: list[tuple[np.ndarray, int]] = []
     for column, many in zip(columns, x, strict=True):
@@ -116,7 +173,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
     return used + [(c, 1) for _, c in bins], bound
 
 
-_PIECE = "part string, cls int, nth long, doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
+_PIECE = "part int, cls int, nth long, doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocab: str | None = None, end_id: int = 2, drops_space: bool = True, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
@@ -125,7 +182,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocab: str |
     vocab = vocab or vocabulary("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(vocab, drops_space), np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
+        enc, end, part = encoder(vocab, drops_space), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = np.zeros(capacity // unit + 2, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -141,7 +198,7 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocab: str |
                             column.append(x)
                         seen[cls] += 1
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(out[0])), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["part", "cls", "nth", "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(out[0]), pa.int32()), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["part", "cls", "nth", "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     return materialise(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _PIECE), "pieces")
 
