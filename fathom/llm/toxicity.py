@@ -18,17 +18,16 @@ CALIBRATION_ROWS labelled rows for the curve, chosen by hash of their id.
 
 Null and empty texts have no evidence and get the curve's value at zero. Without labels of both classes the score is the
 share of toxic labels, (toxic + 1) / (labelled + 2). Repeated ids are scored row by row; a repeated label row counts once
-for each label it gives.
+for each label it gives. Rows with a null id are scored and never held out. Other columns may have any names.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import text as X
@@ -202,23 +201,24 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _crc(id) -> int:
-    return zlib.crc32(str(id).encode())
+def fold_of(id: Column) -> Column:
+    """crc32 of the id as text, modulo 4: the one definition of who is held out."""
+    return F.crc32(id.cast("string").cast("binary")) % 4
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS):
     """(model, curve) or (None, share of toxic labels)."""
     spark = docs.sparkSession
     ship(spark)
-    fold_of = F.crc32(F.col("_id").cast("string").cast("binary")) % 4
-    y = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & (fold_of != 2))
+    remainder = fold_of(F.col("_id"))
+    y = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & (remainder != 2))
     n, toxic = y.agg(F.count("*"), F.sum(F.when(F.col("_y") > 0, 1).otherwise(0))).first()
     if not n or not toxic or toxic == n:
         return None, ((toxic or 0) + 1) / (n + 2)
     if n <= BROADCAST_LABELS:
         y = F.broadcast(y)
-    d = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t")).where(fold_of != 2)
-    rows = d.join(y, "_id").withColumn("_f", fold_of)
+    d = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_t")).where(remainder != 2)
+    rows = d.join(y, "_id").withColumn("_f", remainder)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,9 +271,10 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD, **kw) -> DataFrame:
-    """(id, held_out, score, predicted, evidence, peak) for each row of docs."""
+    """(id, held_out, score, predicted, evidence, peak) for each row of docs. Null ids are not held out."""
     shared, curve = train(docs, labels, id, text, label, **kw)
     kind = docs.schema[id].dataType.simpleString()
+    held = F.coalesce(fold_of(F.col(id)) == 2, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,7 +283,6 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             else:
                 f = features(shared.value, b.column(1))
                 p = 1 / (1 + np.exp(-np.clip(curve[0] + f @ curve[1:], -50, 50)))
-            held = [_crc(i) % 4 == 2 for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1])], names=[id, "held_out", "score", "predicted", "evidence", "peak"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(f[:, 0]), pa.array(f[:, 1])], names=[id, "held_out", "score", "predicted", "evidence", "peak"])
 
-    return docs.select(F.col(id), F.col(text).cast("string").alias("t")).mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int, evidence double, peak double")
+    return docs.select(F.col(id), F.col(text).cast("string").alias("t"), held.alias("h")).mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int, evidence double, peak double")
