@@ -6,7 +6,8 @@ that one rule rejects is not shown to the next. The verdict is the conjunction o
 the measured order.
 
 Null text counts as empty: no words, base_failed, not kept. Repeated rows are judged one by one. Columns other than
-the id and text are ignored by quality_measures and kept by quality_filter.
+the id and text, whatever their names, are ignored by quality_measures and kept by quality_filter. A document is judged
+whole, however long it is.
 """
 
 from __future__ import annotations
@@ -217,3 +218,25 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
             yield b.filter(pa.array(cascade(texts, m, ~base_failed(m), rules)))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def sql(table: str = "documents", id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, max_percent: int = MAX_REPEAT_PERCENT) -> str:
+    """DuckDB SQL of quality_measures with RULES, on a table without repeated ids."""
+    return rf"""
+WITH d AS (SELECT {id} AS i, coalesce({text}, '') AS t, regexp_extract_all(coalesce({text}, ''), '[^ \t-\r]+') AS ws FROM {table}),
+w AS (SELECT i, unnest(ws) AS w, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM d),
+g AS (SELECT *, md5(string_agg(w, ' ') OVER (PARTITION BY i ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) AS h, lag(w) OVER (PARTITION BY i ORDER BY k) AS before FROM w),
+f AS (SELECT i, k, w, before, k + 4 <= n AND count(*) FILTER (WHERE k + 4 <= n) OVER (PARTITION BY i, h) > 1 AS again FROM g),
+c AS (SELECT i, w, before, coalesce(max(again::INTEGER) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) AS hit FROM f),
+m AS (SELECT i, sum(length(w)) AS word_chars, sum(hit) AS n_repeat_words, count(*) FILTER (WHERE w = before) AS stutter,
+    count(*) FILTER (WHERE regexp_matches(w, '[a-zA-Z]') OR strlen(w) > length(w)) AS lettered FROM c GROUP BY i),
+o AS (SELECT i, max(n) AS one FROM (SELECT i, count(*) AS n FROM w GROUP BY i, w) GROUP BY i),
+l AS (SELECT i, (count(*) - count(DISTINCT x)) AS n_dup_lines FROM (SELECT i, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^ \t-\r]') GROUP BY i),
+a AS (SELECT d.i, len(ws)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, stutter, lettered, one, length(t) - length(replace(t, '!', '')) AS calls,
+    length(t) - length(replace(t, chr(10), '')) + 1 AS lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS up, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS low
+    FROM d LEFT JOIN m USING (i) LEFT JOIN o USING (i) LEFT JOIN l USING (i)),
+b AS (SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {max_percent} * n_words AS base_failed FROM a)
+SELECT i AS {id}, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR 2 * (n_words - lettered) > n_words OR one > 0.3::DOUBLE * n_words
+    OR stutter > 0.3::DOUBLE * n_words OR 2 * up > up + low OR calls > 0.2::DOUBLE * n_words OR n_symbols > 0.1::DOUBLE * n_words
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 2 * n_dup_lines > lines) AS kept FROM b"""
