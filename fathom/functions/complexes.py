@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +97,126 @@ def mobius(a: Complex, p: complex, q: complex, r: complex, s: complex) -> Comple
 
 def joukowski(a: Complex) -> Complex:
     return add(a, div((F.lit(1.0), F.lit(0.0)), a))
+
+
+def sub(a: Complex, b: Complex) -> Complex:
+    return a[0] - b[0], a[1] - b[1]
+
+
+def _lit(z: complex) -> Complex:
+    z = complex(z)
+    return F.lit(z.real), F.lit(z.imag)
+
+
+def _times_i(a: Complex) -> Complex:
+    return -a[1], a[0]
+
+
+def asin(a: Complex) -> Complex:
+    """-i log(i z + sqrt(1 - z^2))."""
+    w = log(add(_times_i(a), sqrt(sub(_lit(1), mul(a, a)))))
+    return w[1], -w[0]
+
+
+def acos(a: Complex) -> Complex:
+    w = asin(a)
+    return F.lit(math.pi / 2) - w[0], -w[1]
+
+
+def atan(a: Complex) -> Complex:
+    """-i/2 log((i - z) / (i + z)), with poles at i and -i."""
+    w = log(div(sub(_lit(1j), a), add(_lit(1j), a)))
+    return scale((w[1], -w[0]), 0.5)
+
+
+def asinh(a: Complex) -> Complex:
+    return log(add(a, sqrt(add(mul(a, a), _lit(1)))))
+
+
+def acosh(a: Complex) -> Complex:
+    return log(add(a, mul(sqrt(add(a, _lit(1))), sqrt(sub(a, _lit(1))))))
+
+
+def quadratic_roots(a: Complex, b: Complex, c: Complex) -> tuple[Complex, Complex]:
+    """Both roots of a z^2 + b z + c."""
+    root = sqrt(sub(mul(b, b), scale(mul(a, c), 4)))
+    return tuple(div(add(scale(b, -1), r), scale(a, 2)) for r in (root, scale(root, -1)))
+
+
+def polynomial_slope(coefficients: list[complex]) -> list[complex]:
+    """Coefficients (ascending powers) of the derivative."""
+    return [k * c for k, c in enumerate(coefficients)][1:] or [0]
+
+
+def polynomial_product(a: list[complex], b: list[complex]) -> list[complex]:
+    return np.convolve(a, b).tolist()
+
+
+def polynomial_roots(coefficients: list[complex]) -> list[complex]:
+    """All roots of a polynomial of ascending powers, as eigenvalues of its companion matrix."""
+    return sorted(np.roots(np.asarray(coefficients)[::-1]).tolist(), key=lambda z: (round(z.real, 9), round(z.imag, 9)))
+
+
+def partial_fractions(numerator: list[complex], poles: list[complex]) -> list[complex]:
+    """Residues of numerator / product of (z - pole) at distinct poles."""
+    value = lambda z: sum(c * z**k for k, c in enumerate(numerator))
+    return [value(p) / np.prod([p - q for q in poles if q != p]) for p in poles]
+
+
+def blaschke(a: Complex, zeros: list[complex]) -> Complex:
+    """Product of (z - w) / (1 - conj(w) z)."""
+    out = _lit(1)
+    for w in map(complex, zeros):
+        out = mul(out, div(sub(a, _lit(w)), sub(_lit(1), mul(_lit(w.conjugate()), a))))
+    return out
+
+
+def joukowski_inverse(w: Complex) -> Complex:
+    """The z of w = z + 1 / z outside the unit circle."""
+    root = sqrt(sub(mul(w, w), _lit(4)))
+    p, q = scale(add(w, root), 0.5), scale(sub(w, root), 0.5)
+    outer = modulus(p) >= modulus(q)
+    return F.when(outer, p[0]).otherwise(q[0]), F.when(outer, p[1]).otherwise(q[1])
+
+
+def winding_number(a: Complex, polygon: list[complex]) -> Column:
+    """How often a closed polygon goes around each point."""
+    total = F.lit(0.0)
+    for p, q in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+        turn = div(sub(_lit(q), a), sub(_lit(p), a))
+        total = total + argument(turn)
+    return F.round(total / (2 * math.pi)).cast("int")
+
+
+Function = Callable[[complex], complex]
+
+
+def path_integral(f: Function, path: list[complex], points: int = 16) -> complex:
+    """Gauss-Legendre along each segment of a path."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    return sum((q - p) / 2 * sum(k * f((p + q) / 2 + (q - p) / 2 * u) for u, k in zip(x, w, strict=True)) for p, q in zip(path, path[1:], strict=False))
+
+
+def circular_integral(f: Function, centre: complex, radius: float, points: int = 256) -> complex:
+    """Equal steps around a circle, which converge fast for analytic functions."""
+    z = radius * np.exp(2j * np.pi * np.arange(points) / points)
+    return complex(sum(f(centre + u) * 1j * u for u in z) * 2 * np.pi / points)
+
+
+def residue(f: Function, pole: complex, radius: float = 1e-1) -> complex:
+    """Of a pole of any order with no other pole within radius."""
+    return circular_integral(f, pole, radius) / (2j * math.pi)
+
+
+def argument_principle(f: Function, slope: Function, centre: complex, radius: float) -> int:
+    """Zeros less poles inside a circle."""
+    return round((circular_integral(lambda z: slope(z) / f(z), centre, radius, 1024) / (2j * math.pi)).real)
+
+
+def newton(f: Function, slope: Function, z: complex, rounds: int = 100, tol: float = 1e-13) -> complex:
+    for _ in range(rounds):
+        step = f(z) / slope(z)
+        z -= step
+        if abs(step) <= tol * max(1, abs(z)):
+            return z
+    raise RuntimeError("no convergence")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fathom.errors import need
 
 _UNARY = {"sin": math.sin, "cos": math.cos, "exp": math.exp, "log": math.log, "tanh": math.tanh, "sqrt": math.sqrt, "atan": math.atan}
+_UNARY |= {"tan": math.tan, "sinh": math.sinh, "cosh": math.cosh, "asin": math.asin, "acos": math.acos, "abs": abs, "signum": lambda x: float((x > 0) - (x < 0))}
 
 
 class _Tree:
@@ -87,6 +88,16 @@ def _slope(kind: str, u: _Tree) -> _Tree:
         return 1 - call("tanh", u) ** 2
     if kind == "atan":
         return 1 / (1 + u**2)
+    if kind == "tan":
+        return 1 + call("tan", u) ** 2
+    if kind in ("sinh", "cosh"):
+        return call("cosh" if kind == "sinh" else "sinh", u)
+    if kind in ("asin", "acos"):
+        return (1 if kind == "asin" else -1) / call("sqrt", 1 - u**2)
+    if kind == "abs":
+        return call("signum", u)
+    if kind == "signum":
+        return lift(0)
     return Fraction(1, 2) / call("sqrt", u)
 
 
@@ -217,6 +228,62 @@ def gradient(e: _Tree, names: list[str]) -> list[Column]:
     return [column(differentiate(e, n)) for n in names]
 
 
+def jacobian(es: list[_Tree], names: list[str]) -> list[list[Column]]:
+    return [gradient(e, names) for e in es]
+
+
+def hessian(e: _Tree, names: list[str]) -> list[list[Column]]:
+    """All second derivatives; equal ones are worked out once."""
+    first = [differentiate(e, n) for n in names]
+    upper = {(i, j): column(differentiate(first[i], names[j])) for i in range(len(names)) for j in range(i, len(names))}
+    return [[upper[min(i, j), max(i, j)] for j in range(len(names))] for i in range(len(names))]
+
+
+def _sum(terms: list[Column]) -> Column:
+    out = terms[0]
+    for x in terms[1:]:
+        out = out + x
+    return out
+
+
+def laplacian(e: _Tree, names: list[str]) -> Column:
+    """The trace of the hessian."""
+    return _sum([column(differentiate(differentiate(e, n), n)) for n in names])
+
+
+def divergence(field: list[_Tree], names: list[str]) -> Column:
+    return _sum([column(differentiate(e, n)) for e, n in zip(field, names, strict=True)])
+
+
+def curl(field: list[_Tree], names: list[str]) -> list[Column]:
+    """One column in the plane, three in space."""
+    turn = lambda i, j: column(differentiate(field[j], names[i]) - differentiate(field[i], names[j]))
+    return [turn(0, 1)] if len(field) == 2 else [turn(1, 2), turn(2, 0), turn(0, 1)]
+
+
+def gradient_norm(e: _Tree, names: list[str]) -> Column:
+    return F.sqrt(_sum([g * g for g in gradient(e, names)]))
+
+
+def directional(e: _Tree, names: list[str], direction: list) -> Column:
+    return _sum([g * d for g, d in zip(gradient(e, names), direction, strict=True)])
+
+
+def pulled_back(es: list[_Tree], names: list[str], weights: list) -> list[Column]:
+    """Weights of the results times the jacobian: the slopes of the weighted sum."""
+    return [_sum([column(differentiate(e, n)) * w for e, w in zip(es, weights, strict=True)]) for n in names]
+
+
+def gradient_error(e: _Tree, names: list[str], h: float = 1e-5) -> Column:
+    """The largest distance between exact slopes and central differences."""
+
+    def moved(n: str, by: float) -> Column:
+        return column(e, {n: F.col(n).cast("double") + by})
+
+    errors = [F.abs(column(differentiate(e, n)) - (moved(n, h) - moved(n, -h)) / (2 * h)) for n in names]
+    return F.greatest(*errors) if len(errors) > 1 else errors[0]
+
+
 class Dual:
     """A value and its slope as columns: forward-mode derivatives of formulas written over Duals."""
 
