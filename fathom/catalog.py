@@ -418,11 +418,7 @@ def pagerank_k_iters(s, d):
 
 @query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT 3 AS id, 0.0::DOUBLE AS distance, 0 AS k UNION SELECT e.dst, r.distance + e.w, k + 1 FROM r JOIN e ON r.id = e.src WHERE k < 3) SELECT id, min(distance) AS distance FROM r GROUP BY id")
 def sssp_bounded(s, d):
-    e = _edges(s, d)
-    x = s.createDataFrame([(3, 0.0)], "id int, distance double")
-    for _ in range(3):
-        x = x.union(x.join(e, x.id == e.src).select("dst", F.col("distance") + F.col("w"))).groupBy("id").agg(F.min("distance").alias("distance"))
-    return x
+    return graph.shortest_paths(materialise(_edges(s, d), "edges"), 3, hops=3)
 
 
 @query()

@@ -182,17 +182,23 @@ def impulse_response(a: np.ndarray, steps: int) -> list[np.ndarray]:
 
 def garch_filter(df: DataFrame, value: str, by: list[str], order: list[str], key: list[str], omega: float, alpha: float, beta: float) -> DataFrame:
     """Conditional variance h_t = omega + alpha * e_(t-1)^2 + beta * h_(t-1), from the long-run variance; value is a return."""
-    from fathom.operators.timeseries import recursion
+    from fathom.operators.timeseries import carried
 
     need(omega > 0 and alpha >= 0 and beta >= 0 and alpha + beta < 1, "omega > 0, alpha + beta < 1")
 
-    def step(xs: list[float]) -> list[float]:
-        out = [omega / (1 - alpha - beta)]
-        for x in xs[:-1]:
-            out.append(omega + alpha * x * x + beta * out[-1])
-        return out
+    def start():
+        h, last = omega / (1 - alpha - beta), None
+
+        def step(x: float) -> float:
+            nonlocal h, last
+            if last is not None:
+                h = omega + alpha * last * last + beta * h
+            last = x
+            return h
+
+        return step
 
-    return recursion(df, value, by, order, key, "h", step)
+    return carried(df, value, by, order, key, "h", start)
 
 
 def fit_garch(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:

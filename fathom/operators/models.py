@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need_columns
+from fathom.operators.running import running
 
 
 def linear_model(df: DataFrame, y: str, xs: list[str], weight: Column | None = None, ridge: float = 0.0) -> DataFrame:
@@ -62,8 +63,8 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks over distinct scores."""
     g = df.groupBy(score).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    t = g.withColumn("r", before + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("r") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    g = running(g, [score], upto=("sum", F.col("n")))
+    t = g.withColumn("r", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("r") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
 

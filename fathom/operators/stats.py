@@ -6,12 +6,16 @@ every statistic.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need, need_columns
 from fathom.functions.columns import nonzero
+from fathom.operators.running import running
+from fathom.session import materialise, ship, unused
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -135,8 +139,8 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, times, mid_rank): mid-ranks from counts of distinct values, so that the running sum orders distinct values only."""
     g = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("times"))
-    upto = F.sum("times").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return g.withColumn("mid_rank", upto - F.col("times") + (F.col("times") + 1) / 2.0)
+    g = running(g, [value], upto=("sum", F.col("times")))
+    return g.select(value, "times", (F.col("upto") - F.col("times") + (F.col("times") + 1) / 2.0).alias("mid_rank"))
 
 
 def mann_whitney(df: DataFrame, value: str, by: str, first, second) -> DataFrame:
@@ -174,9 +178,9 @@ def ks_two_sample(a: DataFrame, x: str, b: DataFrame, y: str) -> DataFrame:
     """Largest difference of the two empirical distribution functions, over distinct values."""
     u = a.select(F.col(x).alias("v"), F.lit(1).alias("p"), F.lit(0).alias("q")).union(b.select(F.col(y).alias("v"), F.lit(0).alias("p"), F.lit(1).alias("q"))).where("v is not null")
     g = u.groupBy("v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    w, every = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    d = g.select((F.sum("p").over(w) / F.sum("p").over(every)).alias("f"), (F.sum("q").over(w) / F.sum("q").over(every)).alias("g"), F.sum("p").over(every).alias("n1"), F.sum("q").over(every).alias("n2"))
-    return d.agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    g = running(g, ["v"], f=("sum", F.col("p")), g=("sum", F.col("q")))
+    n = g.agg(F.sum("p").alias("n1"), F.sum("q").alias("n2"))
+    return g.join(F.broadcast(n)).groupBy("n1", "n2").agg(F.max(F.abs(F.col("f") / F.col("n1") - F.col("g") / F.col("n2"))).alias("d")).select("d", "n1", "n2")  # n: one row
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -185,27 +189,93 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return d.select(x, y).join(rx, x).join(ry, y).agg(F.corr("_rx", "_ry").alias("rho"))
 
 
-def kendall(df: DataFrame, x: str, y: str, most: int = 20_000) -> DataFrame:
-    """Kendall's tau-b over distinct pairs of values with their counts; refuses more than `most` distinct pairs."""
-    g = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    need(g.limit(most + 1).count() <= most, f"more than {most} distinct pairs; sample or bin first")
-    p, q = g.alias("p"), g.alias("q")
-    s = p.join(q, F.col("p.x") < F.col("q.x")).agg(F.sum(F.signum((F.col("q.y") - F.col("p.y")).cast("double")) * F.col("p.n") * F.col("q.n")).alias("s"))
+#: Rows of a block in kendall, and blocks a side at most.
+KENDALL_ROWS, KENDALL_BLOCKS = 1 << 17, 1024
+
+
+def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray, block: np.ndarray | None = None) -> int:
+    """Sum of n_i n_j sign(y_j - y_i) over pairs with x_i < x_j, and in other blocks where blocks are given: counted by
+    merging halves of the order of x, one bit of its rank at a time."""
+    _, rx = np.unique(x, return_inverse=True)
+    _, ry = np.unique(y, return_inverse=True)
+    total = _merged(rx, ry, n)
+    if block is not None:
+        for k in np.unique(block).tolist():
+            at = block == k
+            total -= _merged(rx[at], ry[at], n[at])
+    return total
+
+
+def _merged(rx: np.ndarray, ry: np.ndarray, n: np.ndarray) -> int:
+    total = 0
+    for bit in range(int(rx.max(initial=0)).bit_length()):
+        half, right = rx >> (bit + 1), (rx >> bit) & 1
+        order = np.lexsort((ry, half))
+        h, y, r, w = half[order], ry[order], right[order].astype(bool), n[order].astype(np.int64)
+        left = np.concatenate([[0], np.cumsum(np.where(r, 0, w))])
+        edge = np.ones(len(h), bool)
+        edge[1:] = (h[1:] != h[:-1]) | (y[1:] != y[:-1])
+        start = np.flatnonzero(edge)
+        stop = np.append(start[1:], len(h))
+        run = np.cumsum(edge) - 1
+        first = np.searchsorted(h, h, "left")
+        last = np.searchsorted(h, h, "right")
+        # for each member of the right half: weights of the left half below it, less those above it
+        below, above = left[start[run]] - left[first], left[last] - left[stop[run]]
+        total += int(((below - above) * w)[r].sum())
+    return total
+
+
+def kendall(df: DataFrame, x: str, y: str, rows: int = KENDALL_ROWS) -> DataFrame:
+    """Kendall's tau-b over distinct pairs of values with their counts.
+
+    Values are cut into ranges of x and ranges of y. Pairs that differ in both ranges are counted from the table of range
+    sizes (at most KENDALL_BLOCKS a side); pairs within a range of x, and within a range of y but not of x, by one task a range.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    g = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+    g = materialise(g, "pairs")
+    m = g.count()
+    cuts = min(KENDALL_BLOCKS, m // rows + 1)
+    edges = g.approxQuantile(["x", "y"], [k / cuts for k in range(1, cuts)], 0.1 / cuts) if cuts > 1 else [[], []]
+    where = lambda c, e: F.lit(0) if not e else F.size(F.filter(F.array(*map(F.lit, e)), lambda v: v < F.col(c)))
+    g = g.select("x", "y", "n", where("x", edges[0]).alias("bx"), where("y", edges[1]).alias("by"))
+
+    def count(own: str, other: str | None):
+        def run(table: pa.Table) -> pa.Table:
+            a, b, w = (table.column(c).to_numpy() for c in ("x", "y", "n"))
+            return pa.table({"s": pa.array([concordance(a, b, w, table.column(other).to_numpy() if other else None)], pa.int64())})
+
+        return g.groupBy(own).applyInArrow(run, "s long")
+
+    near = count("bx", None).union(count("by", "bx")).agg(F.sum(F.col("s").cast("decimal(38,0)"))).first()[0] or 0
+    cells = g.groupBy("bx", "by").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros((len(edges[0]) + 1, len(edges[1]) + 1), object)
+    for i, j, k in zip(*(cells.column(c).to_pylist() for c in ("bx", "by", "n")), strict=True):
+        grid[i, j] += k
+    low, far = np.zeros(grid.shape[1], object), 0
+    for row in grid:
+        upto = np.concatenate([[0], np.cumsum(low)])
+        far += sum(k * (upto[j] - (upto[-1] - upto[j + 1])) for j, k in enumerate(row) if k)
+        low = low + row
     t = lambda c, name: g.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(name))
-    n = g.agg(F.sum("n").alias("nn"))
-    x1 = s.join(F.broadcast(t("x", "tx"))).join(F.broadcast(t("y", "ty"))).join(F.broadcast(n))  # one row each
+    one = g.agg(F.sum("n").alias("nn")).join(F.broadcast(t("x", "tx"))).join(F.broadcast(t("y", "ty")))  # one row each
     n0 = F.col("nn") * (F.col("nn") - 1) / 2
-    return x1.select((F.col("s") / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("tau_b"))
+    return one.select((F.lit(float(int(near) + far)) / F.sqrt(nonzero((n0 - F.col("tx")) * (n0 - F.col("ty"))))).alias("tau_b"))
 
 
 def p_adjust(df: DataFrame, p: str, method: str, key: str) -> DataFrame:
     """Adds p_adj: Bonferroni, Holm (running maximum) or Benjamini-Hochberg (running minimum from the largest p).
-    One row a test: the family is ordered in one task."""
+    key tells the tests apart."""
     need(method in ("bonferroni", "holm", "bh"), "method is bonferroni, holm or bh")
-    n = F.count("*").over(W.partitionBy())
+    n = df.count()
     if method == "bonferroni":
         return df.withColumn("p_adj", F.least(F.lit(1.0), F.col(p) * n))
-    rank = F.row_number().over(W.orderBy(p, key))
+    rank, q = unused(df, "rank", "q")
+    x = running(df, [p, key], **{rank: ("sum", F.lit(1))})
     if method == "holm":
-        return df.withColumn("_q", (n - rank + 1) * F.col(p)).withColumn("p_adj", F.least(F.lit(1.0), F.max("_q").over(W.orderBy(p, key).rowsBetween(W.unboundedPreceding, 0)))).drop("_q")
-    return df.withColumn("_q", n * F.col(p) / rank).withColumn("p_adj", F.least(F.lit(1.0), F.min("_q").over(W.orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(W.unboundedPreceding, 0)))).drop("_q")
+        x = running(x.withColumn(q, (n - F.col(rank) + 1) * F.col(p)), [p, key], p_adj=("max", F.col(q)))
+    else:
+        x = running(x.withColumn(q, n * F.col(p) / F.col(rank)), [p, key], descending=True, p_adj=("min", F.col(q)))
+    return x.withColumn("p_adj", F.least(F.lit(1.0), "p_adj")).drop(rank, q)

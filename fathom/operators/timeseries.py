@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need, need_columns
 from fathom.functions.columns import nonzero
+from fathom.session import ship
 
 
 def ordered(by: list[str], order: list[str]) -> W:
@@ -109,47 +111,84 @@ def recursion(df: DataFrame, value: str, by: list[str], order: list[str], key: l
     return x.groupBy(*by).applyInPandas(run, f"{schema}, `{out}` double")
 
 
+def carried(df: DataFrame, value: str, by: list[str], order: list[str], key: list[str], out: str, start: Callable[[], Callable[[float], float]]) -> DataFrame:
+    """A recursion that needs its last state only: start() gives a function that is called with each value of a series in
+    order. Series come sorted, in Arrow batches, so memory does not grow with their length. Nulls of order come last."""
+    ship(df.sparkSession)
+    columns = list(dict.fromkeys([*by, *order, *key, value]))
+    x = df.select(*columns).where(F.col(value).isNotNull())
+    x = (x.repartition(*by) if by else x.coalesce(1)).sortWithinPartitions(*by, *(F.col(c).asc_nulls_last() for c in order))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for b in batches:
+            keys = list(zip(*(["nan" if k != k else k for k in b.column(c).to_pylist()] for c in by), strict=True)) if by else [()] * b.num_rows
+            got = []
+            for k, v in zip(keys, b.column(value).cast(pa.float64()).to_pylist(), strict=True):
+                if step is None or k != at:
+                    at, step = k, start()
+                got.append(step(v))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, out])
+
+    return x.mapInArrow(run, f"{schema}, `{out}` double")
+
+
 def ema(df: DataFrame, value: str, by: list[str], order: list[str], alpha: float, key: list[str] | None = None) -> DataFrame:
     """y_0 = x_0, y_t = alpha * x_t + (1 - alpha) * y_(t-1)."""
     need(0 < alpha <= 1, "alpha is in (0, 1]")
 
-    def step(xs: list[float]) -> list[float]:
-        out: list[float] = []
-        for x in xs:
-            out.append(x if not out else alpha * x + (1 - alpha) * out[-1])
-        return out
+    def start():
+        y = None
 
-    return recursion(df, value, by, order, key or [], "ema", step)
+        def step(x: float) -> float:
+            nonlocal y
+            y = x if y is None else alpha * x + (1 - alpha) * y
+            return y
+
+        return step
+
+    return carried(df, value, by, order, key or [], "ema", start)
 
 
 def holt(df: DataFrame, value: str, by: list[str], order: list[str], alpha: float, beta: float, key: list[str] | None = None) -> DataFrame:
     """Level of Holt's linear smoothing: level_0 = x_0, trend_0 = x_1 - x_0."""
 
-    def step(xs: list[float]) -> list[float]:
-        level, trend = xs[0], (xs[1] - xs[0] if len(xs) > 1 else 0.0)
-        out = [level]
-        for x in xs[1:]:
-            last = level
-            level = alpha * x + (1 - alpha) * (level + trend)
+    def start():
+        level = trend = None
+
+        def step(x: float) -> float:
+            nonlocal level, trend
+            if level is None:
+                level = x
+                return level
+            trend = x - level if trend is None else trend
+            last, level = level, alpha * x + (1 - alpha) * (level + trend)
             trend = beta * (level - last) + (1 - beta) * trend
-            out.append(level)
-        return out
+            return level
 
-    return recursion(df, value, by, order, key or [], "level", step)
+        return step
+
+    return carried(df, value, by, order, key or [], "level", start)
 
 
 def kalman_local_level(df: DataFrame, value: str, by: list[str], order: list[str], q: float, r: float, p0: float = 1.0, key: list[str] | None = None) -> DataFrame:
     """Filtered level of a random walk (variance q) seen through noise (variance r), from the first value."""
 
-    def step(xs: list[float]) -> list[float]:
-        x, p = xs[0], p0
-        out = [x]
-        for z in xs[1:]:
+    def start():
+        x, p = None, p0
+
+        def step(z: float) -> float:
+            nonlocal x, p
+            if x is None:
+                x = z
+                return x
             p += q
             gain = p / (p + r)
             x += gain * (z - x)
             p *= 1 - gain
-            out.append(x)
-        return out
+            return x
+
+        return step
 
-    return recursion(df, value, by, order, key or [], "level", step)
+    return carried(df, value, by, order, key or [], "level", start)
