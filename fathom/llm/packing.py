@@ -121,7 +121,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int, gap: floa
             at = int(worth.argmax())
             if worth[at] <= 1 + 1e-6:
                 break
-            new, pool = pool[at], np.delete(pool, at, 0)
+            new, pool = pool[at].copy(), np.delete(pool, at, 0)
             step = np.einsum("ij,j->i", inverse, new)  # small: threads of a matrix library would cost more than they give
             up = np.flatnonzero(step > 1e-9)
             ratio = x[up] / step[up]
