@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathom.functions import quantiles
+
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 _ERFC = np.vectorize(math.erfc, otypes=[float])
 _EPS, _TINY = 1e-15, 1e-300
@@ -146,6 +148,22 @@ def _column(f, *args) -> Column:
     return F.pandas_udf(g, "double")(*(a if isinstance(a, Column) else F.lit(float(a)) if isinstance(a, (int, float)) else F.col(a) for a in args))
 
 
+#: The same functions on whole arrays; null where they are undefined.
+_ARRAYS = {
+    "ln_gamma": quantiles.ln_gamma,
+    "gamma_p": quantiles.gamma_p,
+    "gamma_q": quantiles.gamma_q,
+    "beta_i": quantiles.beta_i,
+    "normal_sf": lambda z: quantiles.normal_cdf(-z),
+    "t_sf2": lambda t, df: quantiles.beta_i(df / 2, 0.5, df / (df + t * t)),
+    "chi2_sf": lambda x, df: quantiles.gamma_q(df / 2, np.maximum(x, 0) / 2),
+    "f_sf": lambda x, d1, d2: quantiles.beta_i(d2 / 2, d1 / 2, d2 / (d2 + d1 * np.maximum(x, 0))),
+    "normal_quantile": quantiles.normal_quantile,
+}
+
+
 def column(name: str, *args) -> Column:
     """A function of this module as a column expression: column("f_sf", "f_statistic", "df_between", "df_within")."""
+    if name in _ARRAYS:
+        return quantiles.column(_ARRAYS[name], *(F.col(a) if isinstance(a, str) else a for a in args))
     return _column(globals()[name], *args)

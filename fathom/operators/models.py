@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.errors import need_columns
+from fathom.functions.columns import nonzero
 from fathom.operators.running import running
 
 
@@ -107,3 +109,42 @@ def knn(points: DataFrame, queries: DataFrame, id: str, vector: str, label: str,
     near = reduce(DataFrame.union, answers)
     votes = near.groupBy("q_id", label).agg(F.count("*").alias("votes"))
     return votes.groupBy("q_id").agg(F.max_by(label, F.struct("votes", -F.col(label))).alias("predicted"))
+
+
+def linear_prediction(intercept: float, weights: dict[str, float]) -> Column:
+    out = F.lit(float(intercept))
+    for c, w in weights.items():
+        out = out + float(w) * F.col(c)
+    return out
+
+
+def logistic_probability(intercept: float, weights: dict[str, float]) -> Column:
+    return 1 / (1 + F.exp(-linear_prediction(intercept, weights)))
+
+
+def logistic_class(intercept: float, weights: dict[str, float], threshold: float = 0.5) -> Column:
+    return (logistic_probability(intercept, weights) >= threshold).cast("int")
+
+
+def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Share of rows where both agree, of those that have both."""
+    return df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull()).agg(F.avg((F.col(actual) == F.col(predicted)).cast("int")).alias("accuracy"))
+
+
+def log_loss(df: DataFrame, label: str, probability: Column, least: float = 1e-15) -> DataFrame:
+    """Mean of -ln of the probability given to what happened, kept away from 0 and 1 by `least`."""
+    p = F.greatest(F.least(probability, F.lit(1 - least)), F.lit(least))
+    return df.agg(F.avg(-F.when(F.col(label) > 0, F.ln(p)).otherwise(F.ln(1 - p))).alias("log_loss"))
+
+
+def macro_f1(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Mean of the classes' F1."""
+    return class_report(df, actual, predicted).agg(F.avg("f1").alias("macro_f1"))
+
+
+def information_criteria(df: DataFrame, residual: str, parameters: int) -> DataFrame:
+    """Gaussian log-likelihood of residuals at their own variance, with Akaike's and Schwarz's criteria."""
+    n, v = F.count(residual), F.avg(F.col(residual) * F.col(residual))
+    g = df.agg(n.cast("double").alias("n"), v.alias("v"))
+    ll = -F.col("n") / 2 * (F.log(2 * math.pi * nonzero(F.col("v"))) + 1)
+    return g.select(ll.alias("log_likelihood"), (2 * parameters - 2 * ll).alias("aic"), (parameters * F.log("n") - 2 * ll).alias("bic"))

@@ -67,3 +67,31 @@ def ks_uniform(s, d):
     from fathom.functions.distributions import uniform_cdf
 
     return learning.ks_one_sample(t(s, d, "customer"), "c_acctbal", lambda v: uniform_cdf(v, -1000.0, 10000.0))
+
+
+_W = {"l_discount": 20.0, "l_quantity": -0.05}
+_Z = "0.5 + 20.0 * l_discount - 0.05 * l_quantity"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, {_Z} AS z FROM lineitem)
+SELECT l_orderkey, l_linenumber, z AS linear, 1 / (1 + exp(-z)) AS probability, (1 / (1 + exp(-z)) >= 0.5)::INTEGER AS class FROM x""")
+def predictions(s, d):
+    keep = ["l_orderkey", "l_linenumber"]
+    return t(s, d, "lineitem").select(*keep, models.linear_prediction(0.5, _W).alias("linear"), models.logistic_probability(0.5, _W).alias("probability"), models.logistic_class(0.5, _W).alias("class"))
+
+
+@query(f"""WITH x AS (SELECT (l_returnflag = 'R')::INTEGER AS y, 1 / (1 + exp(-({_Z}))) AS p FROM lineitem), c AS (SELECT y, p, (p >= 0.5)::INTEGER AS c FROM x),
+f AS (SELECT k, 2.0 * count(*) FILTER (WHERE y = k AND c = k) / nullif(count(*) FILTER (WHERE y = k) + count(*) FILTER (WHERE c = k), 0) AS f1 FROM c, (VALUES (0), (1)) v(k) GROUP BY k)
+SELECT avg((y = c)::INTEGER) AS accuracy, avg(-CASE WHEN y > 0 THEN ln(p) ELSE ln(1 - p) END) AS log_loss, (SELECT avg(coalesce(f1, 0)) FROM f) AS macro_f1 FROM c""")
+def classifier_scores(s, d):
+    x = t(s, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), models.logistic_probability(0.5, _W).alias("p")).withColumn("c", (F.col("p") >= 0.5).cast("int"))
+    one = models.accuracy(x, "y", "c").join(F.broadcast(models.log_loss(x, "y", F.col("p")))).join(F.broadcast(models.macro_f1(x, "y", "c")))
+    return one.select("accuracy", "log_loss", "macro_f1")
+
+
+@query("""WITH x AS (SELECT l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS r FROM lineitem), g AS (SELECT count(r)::DOUBLE AS n, avg(r * r) AS v FROM x)
+SELECT -n / 2 * (ln(2 * pi() * v) + 1) AS log_likelihood, 4 + n * (ln(2 * pi() * v) + 1) AS aic, 2 * ln(n) + n * (ln(2 * pi() * v) + 1) AS bic FROM g""")
+def information_criteria(s, d):
+    x = t(s, d, "lineitem")
+    mean = F.broadcast(x.agg(F.avg("l_extendedprice").alias("m")))  # one row
+    return models.information_criteria(x.join(mean).select((F.col("l_extendedprice") - F.col("m")).alias("r")), "r", 2)
