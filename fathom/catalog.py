@@ -511,11 +511,13 @@ def quaternion_rotate(s, d):
     return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", *((F.round(v, 9) + 0.0).alias(n) for v, n in ((x, "x"), (y, "y"), (z, "z"))))
 
 
-@query()
+# with 2 degrees of freedom above, the survival function has a closed form
+@query(f"""WITH x AS (SELECT l_returnflag AS k, l_extendedprice AS v FROM lineitem), {_ANOVA}, f AS (SELECT (ssb / (k - 1)) / (ssw / (nn - k)) AS f, (k - 1)::BIGINT AS df_between, (nn - k)::BIGINT AS df_within FROM a)
+SELECT round(f, 6) AS f_statistic, df_between, df_within, round(power(1 + 2 * f / df_within, -df_within / 2.0), 6) AS p_value FROM f""")
 def anova_p_value(s, d):
-    ship(s)
     a = stats.anova(t(s, d, "lineitem"), "l_extendedprice", "l_returnflag")
-    return a.withColumn("p_value", special.column("f_sf", "f_statistic", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+    p = special.column("f_sf", "f_statistic", F.col("df_between").cast("double"), F.col("df_within").cast("double"))
+    return a.select(F.round("f_statistic", 6).alias("f_statistic"), "df_between", "df_within", F.round(p, 6).alias("p_value"))
 
 
 @query("""WITH x AS (SELECT event_id, value / 50 AS x FROM events) SELECT event_id, exp(-x * x / 2) / sqrt(2 * pi()) AS normal, 1 - exp(-x) AS exponential, 1 / (1 + exp(-x)) AS logistic, CASE WHEN x < 1 THEN 0 ELSE 1 - power(1 / x, 2.0) END AS pareto, 1 - exp(-power(x, 1.5)) AS weibull,

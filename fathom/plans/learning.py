@@ -56,9 +56,13 @@ def cross_validated_mse(s, d):
     return learning.cross_validated_mse(t(s, d, "orders"), "o_totalprice", ["o_custkey"], "o_orderkey")
 
 
-@query()
+@query("""WITH t AS (SELECT c_mktsegment = 'BUILDING' AS a, c_acctbal > 5000 AS b FROM customer),
+c AS (SELECT count(*) FILTER (WHERE a AND b) AS n11, count(*) FILTER (WHERE a AND NOT b) AS n10, count(*) FILTER (WHERE NOT a AND b) AS n01, count(*) FILTER (WHERE NOT a AND NOT b) AS n00 FROM t),
+k AS (SELECT *, unnest(range(greatest(0, n11 - n00), least(n11 + n10, n11 + n01) + 1)) AS k FROM c),
+l AS (SELECT *, -(lgamma(k + 1) + lgamma(n11 + n10 - k + 1) + lgamma(n11 + n01 - k + 1) + lgamma(n00 - n11 + k + 1)) AS x, -(lgamma(n11 + 1) + lgamma(n10 + 1) + lgamma(n01 + 1) + lgamma(n00 + 1)) AS seen FROM k)
+SELECT n11, n10, n01, n00, round(least(1, sum(exp(x - seen)) FILTER (WHERE exp(x - seen) <= 1 + 1e-7) / sum(exp(x - seen))), 8) AS p_value FROM l GROUP BY n11, n10, n01, n00""")
 def fisher_exact(s, d):
-    return learning.fisher_exact(t(s, d, "customer"), F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 5000)
+    return learning.fisher_exact(t(s, d, "customer"), F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 5000).withColumn("p_value", F.round("p_value", 8))
 
 
 @query("""WITH g AS (SELECT c_acctbal AS v, count(*) AS c FROM customer GROUP BY 1), u AS (SELECT v, c, sum(c) OVER (ORDER BY v) AS u, sum(c) OVER () AS n FROM g), f AS (SELECT *, least(greatest((v + 1000) / 11000, 0), 1) AS f FROM u)
