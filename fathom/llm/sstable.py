@@ -233,16 +233,30 @@ def read(manifest: DataFrame) -> DataFrame:
     return placed.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def lookup(manifest: DataFrame, ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """Ids of single documents, read by binary search from the shards that can hold them."""
-    files = [r.file for r in manifest.select("file").toLocalIterator()]
-    out: dict[int, list[np.ndarray]] = {i: [] for i in ids}
-    for f in files:
-        fs, p = file_system(f)
-        with fs.open_input_file(p) as source:
-            shard = Reader(source)
-            for i in ids:
-                out[i] += [x.copy() for _, x in shard.get(i)]
+def lookup(manifest: DataFrame, ids: list[int | None]) -> dict[int | None, list[np.ndarray]]:
+    """Ids of single documents: the manifest's key ranges tell which shards can hold them, and tasks search those."""
+    spark = manifest.sparkSession
+    ship(spark)
+    wanted = sorted({i for i in ids if i is not None})
+    # one row a shard; equal ids are in one shard
+    following = F.lead("first_id").over(W.orderBy(F.col("has_null").desc(), "first_id"))
+    own = lambda i: (F.col("first_id").isNull() | (i >= F.col("first_id"))) & (F.col("next_id").isNull() | (i < F.col("next_id")))
+    asked = F.filter(F.array(*(F.lit(i).cast("long") for i in wanted)), own) if wanted else F.array().cast("array<long>")
+    shards = manifest.withColumn("next_id", following).select("file", asked.alias("ids"), (F.col("has_null") & F.lit(None in ids)).alias("nulls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, own_ids, nulls in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fs, p = file_system(file)
+                with fs.open_input_file(p) as source:
+                    shard = Reader(source)
+                    rows = [(i, x.astype("<u4").tobytes()) for i in [*own_ids, *([None] if nulls else [])] for _, x in shard.get(i)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["id", "ids"])
+
+    hit = shards.where("size(ids) > 0 or nulls").repartition(max(1, spark.sparkContext.defaultParallelism))
+    out: dict[int | None, list[np.ndarray]] = {i: [] for i in ids}
+    for r in hit.mapInArrow(run, "id long, ids binary").collect():  # the documents asked for
+        out[r.id].append(np.frombuffer(bytes(r.ids), "<u4"))
     return out
 
 

@@ -254,6 +254,11 @@ def test_token_tables(docs, rows):
         start += len(ids)
     found = sstable.lookup(manifest, [33, 34])
     assert list(found[33][0]) == [*ids_of(rows[11][1]), 0] and not found[34]
+    every = sstable.lookup(manifest, [i for i, *_ in rows])
+    assert all(list(every[i][0]) == [*ids_of(t), 0] and len(every[i]) == 1 for i, t, *_ in rows)
+    odd = docs.sparkSession.createDataFrame([(None, "a"), (7, "b"), (7, "c d"), (-3, None)], "doc_id long, text string")
+    found = sstable.lookup(sstable.write(odd), [None, 7, -3, 8])
+    assert {i: sorted(map(list, x)) for i, x in found.items()} == {None: [[*ids_of("a"), 0]], 7: sorted([[*ids_of("b"), 0], [*ids_of("c d"), 0]]), -3: [[0]], 8: []}
 
 
 def test_shard_round_trip_with_null_and_repeated_keys(tmp_path):
