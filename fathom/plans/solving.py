@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.catalog import query, t
-from fathom.functions import local, solvers
+from fathom.functions import descent, local, solvers
 
 
 def _rows(s, d):
@@ -47,15 +47,31 @@ def oscillators(s, d):
     return _each(s, d, f, ["rk4", "rk45", "implicit", "verlet"], 4, 4, 3, 3)
 
 
-@query(f"{_AB} SELECT s_suppkey, round(a, 3) AS bfgs_x, round(b, 3) AS bfgs_y, round(a, 3) AS simplex_x, round(b, 3) AS simplex_y FROM x")
+_SEARCHES = {"gradient": descent.gradient_descent, "conjugate": descent.conjugate_gradients, "lbfgs": descent.lbfgs, "region": descent.trust_region, "bfgs": local.bfgs, "simplex": solvers.nelder_mead}
+
+
+@query(f"{_AB} SELECT s_suppkey, {', '.join(f'round(a, 3) AS {k}_x, round(b, 3) AS {k}_y' for k in _SEARCHES)} FROM x")
 def minimisers(s, d):
-    """The lowest point of a tilted bowl."""
+    """The lowest point of a tilted bowl, by six searches."""
 
     def f(r):
         bowl = lambda v: (v[0] - r.a) ** 2 + 3 * (v[1] - r.b) ** 2 + (v[0] - r.a) * (v[1] - r.b)
-        return [*local.bfgs(bowl, np.zeros(2))[0], *solvers.nelder_mead(bowl, np.zeros(2))[0]]
+        return [x for search in _SEARCHES.values() for x in search(bowl, np.zeros(2))[0]]
+
+    return _each(s, d, f, [f"{k}_{n}" for k in _SEARCHES for n in "xy"], 3)
+
+
+@query(f"{_AB} SELECT s_suppkey, round(least(a, 2), 3) AS boxed, round(-a, 3) AS on_line, round(a, 3) AS swarm, round(a, 3) AS annealed FROM x")
+def constrained_minimisers(s, d):
+    """The nearest point to a within [0, 2], the lowest of x^2 + y^2 on the line x - y = -2a, and two searches of a wavy bowl."""
+
+    def f(r):
+        near = lambda v: (v[0] - r.a) ** 2
+        wavy = lambda v: near(v) + 1 - math.cos(3 * (v[0] - r.a))
+        line = descent.augmented_lagrangian(lambda v: v[0] ** 2 + v[1] ** 2, np.zeros(2), [lambda v: v[0] - v[1] + 2 * r.a])[0]
+        return [descent.projected_gradient(near, np.zeros(1), lambda v: np.clip(v, 0, 2))[0][0], line[0], descent.swarm(wavy, [-9], [9], 15, 120)[0][0], descent.annealing(wavy, np.zeros(1), rounds=2000)[0][0]]
 
-    return _each(s, d, f, ["bfgs_x", "bfgs_y", "simplex_x", "simplex_y"], 3)
+    return _each(s, d, f, ["boxed", "on_line", "swarm", "annealed"], 3)
 
 
 @query(f"{_AB} SELECT s_suppkey, round((15 * a - 4 * b + 1) / 56, 9) AS x0, round((16 * b - 4 * a - 4) / 56, 9) AS x1, round((15 - 4 * b + a) / 56, 9) AS x2 FROM x")
