@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.catalog import query, t
-from fathom.functions import descent, local, solvers
+from fathom.functions import descent, local, solvers, steppers
 
 
 def _rows(s, d):
@@ -78,3 +78,24 @@ def constrained_minimisers(s, d):
 def tridiagonal_systems(s, d):
     """[4 1 0; 1 4 1; 0 1 4] x = (a, b, 1)."""
     return _each(s, d, lambda r: solvers.tridiagonal(np.array([0.0, 1.0, 1.0]), np.full(3, 4.0), np.array([1.0, 1.0, 0.0]), np.array([r.a, r.b, 1.0])), ["x0", "x1", "x2"], 9)
+
+
+@query(f"{_AB} SELECT s_suppkey, round(a * cos(b), 3) AS third_order, round(a * cos(b), 5) AS multistep, round(a * cos(b), 3) AS linearly_implicit, round(a * cos(b), 1) AS explicit FROM x")
+def integrators(s, d):
+    def f(r):
+        turn, y0 = lambda u, y: np.array([y[1], -y[0]]), np.array([r.a, 0.0])
+        return [steppers.bogacki_shampine(turn, y0, 0.0, r.b)[0][0], steppers.adams_bashforth(turn, y0, 0.0, r.b, 400)[0], steppers.rosenbrock(turn, y0, 0.0, r.b, 800)[0], steppers.euler(turn, y0, 0.0, r.b, 4000)[0]]
+
+    return _each(s, d, f, ["third_order", "multistep", "linearly_implicit", "explicit"], 3, 5, 3, 1)
+
+
+@query(f"{_AB} SELECT s_suppkey, round(a, 5) AS shot, round(a * sin(b / 2), 6) AS spectral FROM x")
+def boundary_values(s, d):
+    """y'' = -y from 0 to a sin b: the slope at 0, and the value half way."""
+
+    def f(r):
+        shot = steppers.shooting(lambda t, y, v: -y, 0.0, r.b, 0.0, r.a * math.sin(r.b), -20.0, 20.0)
+        _, y = steppers.chebyshev_bvp(lambda t: 0 * t, lambda t: 1 + 0 * t, lambda t: 0 * t, 0.0, r.b, 0.0, r.a * math.sin(r.b), 16)
+        return [shot, y[8]]
+
+    return _each(s, d, f, ["shot", "spectral"], 5, 6)
