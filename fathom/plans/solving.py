@@ -84,7 +84,7 @@ def tridiagonal_systems(s, d):
 def integrators(s, d):
     def f(r):
         turn, y0 = lambda u, y: np.array([y[1], -y[0]]), np.array([r.a, 0.0])
-        return [steppers.bogacki_shampine(turn, y0, 0.0, r.b)[0][0], steppers.adams_bashforth(turn, y0, 0.0, r.b, 400)[0], steppers.rosenbrock(turn, y0, 0.0, r.b, 800)[0], steppers.euler(turn, y0, 0.0, r.b, 4000)[0]]
+        return [steppers.bogacki_shampine(turn, y0, 0.0, r.b)[0][0], steppers.adams_bashforth(turn, y0, 0.0, r.b, 400)[0], steppers.rosenbrock(turn, y0, 0.0, r.b, 3000)[0], steppers.euler(turn, y0, 0.0, r.b, 4000)[0]]
 
     return _each(s, d, f, ["third_order", "multistep", "linearly_implicit", "explicit"], 3, 5, 3, 1)
 
@@ -94,7 +94,7 @@ def boundary_values(s, d):
     """y'' = -y from 0 to a sin b: the slope at 0, and the value half way."""
 
     def f(r):
-        shot = steppers.shooting(lambda t, y, v: -y, 0.0, r.b, 0.0, r.a * math.sin(r.b), -20.0, 20.0)
+        shot = steppers.shooting(lambda t, y, v: -y, 0.0, r.b, 0.0, r.a * math.sin(r.b), -20.0, 20.0, 100)
         _, y = steppers.chebyshev_bvp(lambda t: 0 * t, lambda t: 1 + 0 * t, lambda t: 0 * t, 0.0, r.b, 0.0, r.a * math.sin(r.b), 16)
         return [shot, y[8]]
 
