@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fathom.functions.symbolic import Dual, Number, Op, Symbol, _slope, _Tree
+from fathom.functions.symbolic import Dual, Number, Symbol, _slope, _Tree
 
 
 def _dual(e: _Tree, x: Dual) -> Dual:
