@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fathom.llm.tokens import encoder, vocabulary
-from fathom.session import materialise, ship
+from fathom.session import give_back, materialise, ship
 
 CAPACITY, UNIT = 4096, 8
 #: Column generation ends when the program is this near to its lower bound, or after so many knapsacks.
@@ -199,6 +199,9 @@ def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", vocab: str |
                         seen[cls] += 1
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(out[0]), pa.int32()), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=["part", "cls", "nth", "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+        # the worker waits for other stages' tasks too; a task fills its cache by itself
+        enc.forget()
+        give_back()
 
     return materialise(docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _PIECE), "pieces")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import text as X
-from fathom.session import ship
+from fathom.session import give_back, ship
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -32,6 +32,8 @@ _STRIP = " \t\n\x0b\x0c\r"
 #: Documented bound of the sample on which the cascade's order is estimated.
 SAMPLE_ROWS = 1000
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+#: Bytes of text that the filter works on at a time, unless a single text is longer.
+FILTER_BLOCK = 4 << 20
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
@@ -210,12 +212,15 @@ def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = measure(b.column(at))
-            data, offs = X.buffers(b.column(at))
-            raw = data.tobytes()
-            texts = [raw[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield b.filter(pa.array(cascade(texts, m, ~base_failed(m), rules)))
+        for whole in batches:
+            for i, j in X.blocks(X.buffers(whole.column(at))[1], FILTER_BLOCK):
+                b = whole.slice(i, j - i)
+                m = measure(b.column(at))
+                data, offs = X.buffers(b.column(at))
+                raw = data.tobytes()
+                texts = [raw[x:y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                yield b.filter(pa.array(cascade(texts, m, ~base_failed(m), rules)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -95,6 +95,12 @@ class Encoder:
             return self.known[s[:-1]] + self.marks[s[-1]]
         return self._whole(s) if s else b""
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.known.clear()
+        self.known.old = {}
+        self.known[""] = b""
+
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         get = self.known.__getitem__
         return [b"".join(map(get, self._segments(t))) if t else b"" for t in texts]
