@@ -1,7 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: every pair at or above the threshold is found, none below it.
 
 A text is the set of its distinct 5-word shingles (64-bit hashes, A-Z lower-cased; a shorter text is one shingle). Rows
-with equal sets are one node. Candidates come from an exact prefix filter: with shingles in one global order, two sets at
+with equal sets are one node. Candidates come by meet-in-the-middle ball hashing first, as in simhash: every node has a
+fingerprint of its shingles, and pairs that the balls show at 3 or fewer differing bits are verified like all others.
+At the similarities wanted most pairs are further apart than any ball could reach, so what ball hashing has not
+joined comes from an exact prefix filter: with shingles in one global order, two sets at
 similarity t or more share one among the first size - ceil(t * size) + 1 of each, their heads. The order puts shingles
 that a sample of texts repeats last; any order finds the same pairs, this one makes few candidates. Sizes and the shared
 shingle's places bound the overlap further, then the two heads do: what they share, and what lies beyond them. What is
@@ -29,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import simhash
 from fathom.llm import text as X
 from fathom.llm.components import connected_components
 from fathom.llm.exchange import bucket_of, split_by
-from fathom.session import discard, materialise, ship, unused
+from fathom.session import discard, give_back, materialise, ship, unused
 
 WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the order (about this many, one in ORDER_SHARE at least), and shingles that get a rank of their own at most.
@@ -135,31 +139,42 @@ def similar_rows(texts: DataFrame, n: int = WORDS, similarity: float = SIMILARIT
                 rank = _often(g, known, often)
                 g = g[np.lexsort((g, rank, of))]
                 head = np.where(size > 0, size - -(-num * size // den) + 1, 0)
+                fp = np.array([simhash.folded(s) if len(s) else 0 for s in np.split(g, offs[1:-1])], np.uint64)
                 blobs = [g[o : o + m].tobytes() for o, m in zip(offs[:-1].tolist(), head.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(size)), b.column(1).slice(at, len(size)), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())], names=["_id", "_th", "node", "size", "head"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(size)), b.column(1).slice(at, len(size)), pa.array(node.view(np.int64)), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary()), pa.array(fp.view(np.int64))], names=["_id", "_th", "node", "size", "head", "fp"])
                 at += len(size)
+        give_back()
 
-    marks = materialise(texts.select("_id", "_th", "_t").mapInArrow(mark, f"_id {kind}, _th long, node long, size long, head binary"), "marks")
+    marks = materialise(texts.select("_id", "_th", "_t").mapInArrow(mark, f"_id {kind}, _th long, node long, size long, head binary, fp long"), "marks")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_th")).alias("k")
-    nodes = materialise(marks.groupBy("node").agg(first, F.first("size").alias("size"), F.first("head").alias("head")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"), "size", "head"), "nodes")
+    nodes = materialise(marks.groupBy("node").agg(first, F.first("size").alias("size"), F.first("head").alias("head"), F.first("fp").alias("fp")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"), "size", "head", "fp"), "nodes")
     members = materialise(marks.select("_id", "_th", "node"), "members")
     discard(marks)
 
     parts = max(64, nodes.count() >> 16)
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = _compared(pairs, nodes.select("node", "size", "head"), lambda: _heads_allow(num, den))
+        out = _compared(likely, _texts(texts, nodes, likely), lambda: _sets_agree(n, num, den))
+        discard(likely)
+        return out
+
+    met = _ball_pairs(nodes)
+    links = [verified(met)]
+    joined = materialise(connected_components(links[0]), "tree")
     found = materialise(_first_round(nodes, ranks, similarity, parts), "candidates")
-    links, low, high = [], 1, 1 + FIRST_WINDOW
+    low, high = 1, 1 + FIRST_WINDOW
     while True:
-        pairs = materialise(found.where("part is not null").groupBy("part").applyInArrow(_distinct, "a long, b long"), "pairs")
-        likely = _compared(pairs, nodes.select("node", "size", "head"), lambda: _heads_allow(num, den))
-        links.append(_compared(likely, _texts(texts, nodes, likely), lambda: _sets_agree(n, num, den)))
-        discard(pairs, likely)
+        pairs = found.where("part is not null").groupBy("part").applyInArrow(_distinct, "a long, b long")
+        pairs = materialise(_apart(pairs, joined) if low == 1 else pairs, "pairs")  # later rounds know their groups
+        links.append(verified(pairs))
+        discard(pairs)
         every = links[0]
         for x in links[1:]:
             every = every.union(x)
         tree = materialise(connected_components(every), "tree")
         rest = found.where("tok is not null")
         if rest.isEmpty():
-            discard(found, nodes, *links)
+            discard(found, nodes, met, joined, *links)
             break
         now = _rest(rest, tree, low, high, similarity, parts)
         discard(found, tree)
@@ -167,6 +182,27 @@ def similar_rows(texts: DataFrame, n: int = WORDS, similarity: float = SIMILARIT
     return members.join(tree, members.node == tree.node, "left").select("_id", "_th", F.coalesce("root", members.node).alias("group"))
 
 
+def _ball_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b), a < b, whose fingerprints the balls show within simhash.RADIUS: each fingerprint has its smallest
+    node, others of the fingerprint pair with that one."""
+    of = nodes.where("size > 0").select("node", "fp")
+    own = materialise(of.groupBy("fp").agg(F.min("node").alias("own")), "own")
+    same = of.join(own, "fp").where("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    near = simhash.links(own, direct=True).distinct()
+    near = near.join(own.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
+    out = materialise(same.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "met")
+    discard(own)
+    return out
+
+
+def _apart(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not yet in one group of the tree."""
+    for end in ("a", "b"):
+        t = tree.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        pairs = pairs.join(t, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    return pairs.where("a_root <> b_root").select("a", "b")
+
+
 def _often(g: np.ndarray, known: np.ndarray, often: np.ndarray) -> np.ndarray:
     """In how many texts of the sample each shingle is; 0 where it is not known."""
     if not len(known):

@@ -66,6 +66,11 @@ def fingerprint(text: bytes, n: int = 3, seed: int = SEED) -> int:
     starts = [0, *(ends[: len(words) - n] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(norm[a:b], seed) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], np.uint64)
+    return folded(h)
+
+
+def folded(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: the bits that over half of them have."""
     bits = 2 * _bits_set(h) > len(h)
     return int(np.packbits(bits[::-1]).view(">u8")[0])
 
@@ -106,6 +111,11 @@ def _odd(x: np.ndarray) -> np.ndarray:
 
 def bucket_links(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a forest of them) that the variants of fps in one bucket show."""
+    return local_forest(*bucket_pairs(fps, bucket, bits))
+
+
+def bucket_pairs(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within RADIUS, stars of the variants of fps in one bucket."""
     near, far = _by_syndrome(NEAR, bits), _by_syndrome(FAR, bits)
     fps = np.unique(fps)
     s = _linear(fps, bits) ^ bucket
@@ -146,11 +156,12 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int) -> tuple[np.ndarray, n
     pair = np.unique(a[ok] * np.int64(len(fps)) + b[ok])
     a, b = fps[pair // len(fps)], fps[pair % len(fps)]
     ok = np.bitwise_count(a ^ b) <= RADIUS
-    return local_forest(a[ok], b[ok])
+    return a[ok], b[ok]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp), enough to join all that are within RADIUS."""
+def links(fps: DataFrame, direct: bool = False) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp), enough to join all that are within RADIUS. direct: only pairs
+    that are within RADIUS themselves, the first of each bucket and a; not all that it takes to join them."""
     ship(fps.sparkSession)
     n = fps.agg(F.count("fp")).first()[0]
     bits = max(6, math.ceil(math.log2(max(1, n) * (len(NEAR) + len(FAR) / 2) / BUCKET_VARIANTS)))
@@ -173,7 +184,12 @@ def links(fps: DataFrame) -> DataFrame:
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         fp = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
-        a, b = bucket_links(fp, key[0].as_py(), bits)
+        if direct:
+            a, b = bucket_pairs(fp, key[0].as_py(), bits)
+            a, at = np.unique(a, return_index=True)
+            b = b[at]
+        else:
+            a, b = bucket_links(fp, key[0].as_py(), bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     return fps.select("fp").where("fp is not null").mapInArrow(spread, "bucket long, fps binary").groupBy("bucket").applyInArrow(gather, "a long, b long")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fathom.llm import shingles
 
@@ -71,6 +73,25 @@ def test_stage_takes_similarity_of_five_words(spark):
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()) == [1, 3]
 
 
+def test_ball_hashing_proposes_pairs_and_the_filter_the_rest(spark, monkeypatch):
+    rng = random.Random(6)
+    w = ["w%d" % rng.randrange(5000) for _ in range(400)]
+    near, far = [*w[:-1], "edited"], list(w)
+    for k in (60, 150, 260, 340):
+        far[k] = "edited"
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (5, "")], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 4]
+    # by the balls alone: all within their radius, nothing else
+    monkeypatch.setattr(shingles, "_first_round", lambda *_: spark.createDataFrame([], shingles._FOUND))
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3, 4]
+    # what they show is verified
+    every = lambda n: n.select(F.col("node").alias("a")).crossJoin(n.select(F.col("node").alias("b"))).where("a < b")
+    monkeypatch.setattr(shingles, "_ball_pairs", every)
+    other = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:300])), (3, " ".join(near))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in stage(spark, other, "").collect()) == [1, 2]
+
+
 def test_lists_dealt_in_parts_lose_no_pair(spark, monkeypatch):
     for name, value in (("CELL", 6), ("FIRST_WINDOW", 2), ("WIDER", 2), ("PAIRS", 3), ("BUCKET", 50), ("BROADCAST_ROWS", 1)):
         monkeypatch.setattr(shingles, name, value)
