@@ -29,6 +29,12 @@ def scale(a: Complex, k) -> Complex:
     return a[0] * k, a[1] * k
 
 
+def settled(a: Complex, ulps: int = 32) -> Complex:
+    """A part that is below the rounding error of the modulus, 2^-53 a step, is zero: what is left where terms cancel."""
+    least = modulus(a) * (ulps * 2.0**-53)
+    return tuple(F.when(F.abs(x) <= least, 0.0).otherwise(x) for x in a)
+
+
 def conjugate(a: Complex) -> Complex:
     return a[0], -a[1]
 

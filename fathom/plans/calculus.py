@@ -72,4 +72,4 @@ def complex_inverses(s, d):
     roots = C.quadratic_roots(one, z, zero)
     first = C.modulus(roots[0]) >= C.modulus(roots[1])
     parts = {**inverse, "root0": tuple(F.when(first, p).otherwise(q) for p, q in zip(*roots, strict=True)), "root1": tuple(F.round(F.when(first, q).otherwise(p), 9) + 0.0 for p, q in zip(*roots, strict=True)), "slope": C.polynomial(z, C.polynomial_slope([3, 2, 1]))}
-    return x.select(*_L, *(c.alias(f"{k}_{n}") for k, v in parts.items() for n, c in zip(("re", "im"), v, strict=True)), C.blaschke(z, [0.5])[0].alias("blaschke_re"))
+    return x.select(*_L, *(c.alias(f"{k}_{n}") for k, v in parts.items() for n, c in zip(("re", "im"), C.settled(v), strict=True)), C.blaschke(z, [0.5])[0].alias("blaschke_re"))
