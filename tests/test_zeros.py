@@ -1,11 +1,11 @@
-"""Parts that are zero come out as zero where their terms cancel, and small ones that are not stay."""
+"""Parts and angles that are zero come out as zero where their terms cancel, and small ones that are not stay."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from fathom.catalog import QUERIES
-from fathom.functions import complexes
-from fathom.plans import calculus  # noqa: F401
+from fathom.functions import complexes, rigid
+from fathom.plans import calculus, closed  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,17 @@ def test_settled_keeps_small_parts(spark):
     z = [complexes.settled((F.lit(a), F.lit(b))) for a, b in ((1e-12, 1.0), (1.0, -1e-12), (1e-300, 0.0), (1e-17, 1.0), (0.0, 0.0))]
     got = spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(x for p in z for x in p))).first()
     assert tuple(got) == (1e-12, 1.0, 1.0, -1e-12, 1e-300, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def test_angles_that_are_zero_come_back_as_zero(spark, sf_dir):
+    at = {r.l_orderkey: r for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").collect()}
+    for r in QUERIES["rigid_motions"](spark, sf_dir).collect():
+        line = at[r.l_orderkey]
+        want = (line.l_discount * 10, line.l_tax * 10, (line.l_quantity - 25) / 10)
+        assert (r.euler_x, r.euler_y, r.euler_z) == pytest.approx(want, rel=1e-9, abs=0)
+
+
+def test_small_angles_are_kept(spark):
+    turns = [rigid.to_euler(tuple(F.lit(x) for x in q)) for q in ((1.0, 5e-18, 0.0, 0.0), (1.0, 0.0, 5e-18, 0.0), (1.0, 0.0, 0.0, 5e-18))]
+    got = spark.range(1).select(*(t[k].alias(f"a{k}") for k, t in enumerate(turns))).first()
+    assert tuple(got) == pytest.approx((1e-17,) * 3, rel=1e-9, abs=0)
