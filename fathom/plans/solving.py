@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.catalog import query, t
-from fathom.functions import descent, local, solvers, steppers
+from fathom.functions import descent, local, lockstep, solvers, steppers
 
 
 def _rows(s, d):
@@ -19,7 +19,15 @@ _AB = "WITH x AS (SELECT s_suppkey, 1 + s_nationkey / 10.0::DOUBLE AS a, 0.5 + (
 
 
 def _each(s, d, f, names, *digits):
-    out = solvers.each(_rows(s, d), "s_suppkey", f)
+    return _named(solvers.each(_rows(s, d), "s_suppkey", f), names, digits)
+
+
+def _together(s, d, f, names, *digits):
+    """f of stacks of suppliers."""
+    return _named(lockstep.together(_rows(s, d), "s_suppkey", f), names, digits)
+
+
+def _named(out, names, digits):
     return out.select("s_suppkey", *(F.round(F.col("y")[k], digits[min(k, len(digits) - 1)]).alias(n) for k, n in enumerate(names)))
 
 
@@ -66,12 +74,14 @@ def constrained_minimisers(s, d):
     """The nearest point to a within [0, 2], the lowest of x^2 + y^2 on the line x - y = -2a, and two searches of a wavy bowl."""
 
     def f(r):
-        near = lambda v: (v[0] - r.a) ** 2
-        wavy = lambda v: near(v) + 1 - math.cos(3 * (v[0] - r.a))
-        line = descent.augmented_lagrangian(lambda v: v[0] ** 2 + v[1] ** 2, np.zeros(2), [lambda v: v[0] - v[1] + 2 * r.a])[0]
-        return [descent.projected_gradient(near, np.zeros(1), lambda v: np.clip(v, 0, 2))[0][0], line[0], descent.swarm(wavy, [-9], [9], 15, 120)[0][0], descent.annealing(wavy, np.zeros(1), rounds=2000)[0][0]]
-
-    return _each(s, d, f, ["boxed", "on_line", "swarm", "annealed"], 3)
+        near = lambda v, r: (v[0] - r.a) ** 2
+        wavy = lambda v, r: near(v, r) + 1 - np.cos(3 * (v[0] - r.a))
+        one, two = np.zeros((1, len(r))), np.zeros((2, len(r)))
+        line = descent.augmented_lagrangian(lambda v, r: v[0] ** 2 + v[1] ** 2, two, [lambda v, r: v[0] - v[1] + 2 * r.a], rows=r)[0]
+        boxed = descent.projected_gradient(near, one, lambda v, r: np.clip(v, 0, 2), rows=r)[0]
+        return [boxed[0], line[0], descent.swarm(wavy, [-9], [9], 15, 120, rows=r)[0][0], descent.annealing(wavy, one, rounds=2000, rows=r)[0][0]]
+
+    return _together(s, d, f, ["boxed", "on_line", "swarm", "annealed"], 3)
 
 
 @query(f"{_AB} SELECT s_suppkey, round((15 * a - 4 * b + 1) / 56, 9) AS x0, round((16 * b - 4 * a - 4) / 56, 9) AS x1, round((15 - 4 * b + a) / 56, 9) AS x2 FROM x")
