@@ -111,9 +111,10 @@ def wave_2d(u: np.ndarray, velocity: np.ndarray, h: float, dt: float, steps: int
 
 
 def shooting(f: Callable[[float, float, float], float], a: float, b: float, ya: float, yb: float, low: float, high: float, steps: int = 400) -> float:
-    """The slope at a, between low and high, with which y'' = f(t, y, y') goes from ya to yb."""
-    end = lambda s: rk4(lambda t, v: np.array([v[1], f(t, v[0], v[1])]), np.array([ya, s]), a, b, steps)[0] - yb
-    return bisect(end, low, high)
+    """The slope at a, between low and high, with which y'' = f(t, y, y') goes from ya to yb. Ends and values may be arrays."""
+    end = lambda s: rk4(lambda t, v: np.array([v[1], f(t, v[0], v[1])]), np.array([ya + 0.0 * s, s]), a, b, steps)[0] - yb
+    same = 0.0 * (a + b + ya + yb)
+    return bisect(end, low + same, high + same)
 
 
 def chebyshev_matrix(n: int) -> tuple[Vector, np.ndarray]:
@@ -125,10 +126,18 @@ def chebyshev_matrix(n: int) -> tuple[Vector, np.ndarray]:
 
 
 def chebyshev_bvp(p: Callable[[Vector], Vector], q: Callable[[Vector], Vector], r: Callable[[Vector], Vector], a: float, b: float, ya: float, yb: float, n: int = 32) -> tuple[Vector, Vector]:
-    """Nodes (ascending) and values of y'' + p y' + q y = r with given ends."""
+    """Nodes (ascending) and values of y'' + p y' + q y = r with given ends. Ends and values may be arrays: nodes are then the
+    first axis, instances the last."""
+    shape = np.shape(a + b + ya + yb)
+    a, b, ya, yb = (np.broadcast_to(np.asarray(v, float), shape).reshape(-1) for v in (a, b, ya, yb))
     x, d = chebyshev_matrix(n)
-    t, d = (a + b) / 2 + (b - a) / 2 * x, d * 2 / (b - a)
-    m, right = d @ d + np.diag(p(t)) @ d + np.diag(q(t)), np.array(r(t), float)
+    t = (a + b) / 2 + (b - a) / 2 * x[:, None]
+    d = d * (2 / (b - a))[:, None, None]
+    # a function may give one number for all nodes
+    at = lambda f: np.broadcast_to(np.asarray(f(t), float), t.shape)
+    m = d @ d + at(p).T[:, :, None] * d + at(q).T[:, :, None] * np.eye(n + 1)
+    right = at(r).T.copy()
     for k, v in ((0, yb), (n, ya)):
-        m[k], right[k] = np.eye(n + 1)[k], v
-    return t[::-1], np.linalg.solve(m, right)[::-1]
+        m[:, k], right[:, k] = np.eye(n + 1)[k], v
+    y = np.linalg.solve(m, right[:, :, None])[:, :, 0].T
+    return t[::-1].reshape(n + 1, *shape), y[::-1].reshape(n + 1, *shape)

@@ -104,8 +104,9 @@ def boundary_values(s, d):
     """y'' = -y from 0 to a sin b: the slope at 0, and the value half way."""
 
     def f(r):
-        shot = steppers.shooting(lambda t, y, v: -y, 0.0, r.b, 0.0, r.a * math.sin(r.b), -20.0, 20.0, 100)
-        _, y = steppers.chebyshev_bvp(lambda t: 0 * t, lambda t: 1 + 0 * t, lambda t: 0 * t, 0.0, r.b, 0.0, r.a * math.sin(r.b), 16)
+        end = r.a * np.sin(r.b)
+        shot = steppers.shooting(lambda t, y, v: -y, 0.0, r.b, 0.0, end, -20.0, 20.0, 100)
+        _, y = steppers.chebyshev_bvp(lambda t: 0 * t, lambda t: 1 + 0 * t, lambda t: 0 * t, 0.0, r.b, 0.0, end, 16)
         return [shot, y[8]]
 
-    return _each(s, d, f, ["shot", "spectral"], 5, 6)
+    return _together(s, d, f, ["shot", "spectral"], 5, 6)

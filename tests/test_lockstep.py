@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from fathom.functions import descent
+from fathom.functions import descent, steppers
 from fathom.functions import lockstep as L
 
 DATA = "/root/testdata/sf0.001"
-SPREAD = ["constrained_minimisers"]
+SPREAD = ["constrained_minimisers", "boundary_values"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -51,3 +51,12 @@ def test_rows_without_numbers_give_null(spark):
     df = spark.createDataFrame([(1, 2.0), (2, None), (3, float("nan")), (4, 3.0)], "id long, a double")
     got = {r.id: r.y for r in L.together(df, "id", lambda r: [r.a, 2 * r.a]).collect()}
     assert got == {1: [2.0, 4.0], 2: None, 3: None, 4: [3.0, 6.0]}
+
+
+def test_stacks_of_boundary_values():
+    end = np.array([0.5, 1.0, 2.0])
+    assert np.allclose(steppers.shooting(lambda t, y, v: -y, 0.0, end, 0.0, np.sin(end), -9.0, 9.0), 1, atol=1e-8)
+    t, y = steppers.chebyshev_bvp(lambda t: t, lambda t: 1 + t, lambda t: 0 * t, 0.0, end, 0.0, np.sin(end), 16)
+    for k, e in enumerate(end.tolist()):
+        u, v = steppers.chebyshev_bvp(lambda t: t, lambda t: 1 + t, lambda t: 0 * t, 0.0, e, 0.0, np.sin(e), 16)
+        assert np.allclose(t[:, k], u) and np.allclose(y[:, k], v, atol=1e-12)
