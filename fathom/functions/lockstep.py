@@ -122,8 +122,20 @@ def until(rounds: int, state: dict[str, Stack], rows: Rows, *turns) -> tuple[Sta
     return x, told
 
 
+def jacobian(g: Callable[[Stack], Stack], x: Stack, at: Stack) -> Stack:
+    """(n, n, ..): slopes of g, which is `at` at x, by each component of x (n, ..)."""
+    e, out = 1e-7 * np.maximum(1, np.abs(x)), np.empty((len(x), *x.shape))
+    for j, s in enumerate(e):
+        y = x.copy()
+        y[j] += s
+        out[:, j] = (g(y) - at) / s
+    return out
+
+
 def solve(m: Stack, b: Stack) -> Stack:
-    """m (n, n, k) @ x = b (n, k): elimination with partial pivots, for few unknowns."""
+    """m (n, n, ..) @ x = b (n, ..): elimination with partial pivots, for few unknowns of many systems."""
+    if b.ndim == 1:
+        return np.linalg.solve(m, b)
     m, b, n = m.copy(), b.copy(), len(b)
     for j in range(n):
         for i in range(j + 1, n):

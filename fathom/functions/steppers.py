@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 from fathom.functions.local import bisect, rk4
+from fathom.functions.lockstep import jacobian, solve
 from fathom.functions.solvers import tridiagonal
 
 Vector = np.ndarray
@@ -21,22 +22,24 @@ def euler(f: Field, y: Vector, t: float, end: float, steps: int) -> Vector:
 
 
 def bogacki_shampine(f: Field, y: Vector, t: float, end: float, tol: float = 1e-7, most: int = 200_000) -> tuple[Vector, int]:
-    """Third order with second-order error control; returns the state and the number of steps tried."""
-    y, h = np.asarray(y, float), (end - t) / 50
-    k1 = f(t, y)
-    for n in range(most):
-        if (end - t) * np.sign(h) <= 0:
-            return y, n
-        h = min(h, end - t) if h > 0 else max(h, end - t)
+    """Third order with second-order error control; returns the state and the number of steps tried. States may be stacks,
+    instances last, each with its own steps; `end` may then be an array."""
+    y, h, n = np.asarray(y, float), (end - t) / 50, 0
+    t, k1 = t + 0.0 * h, f(t, y)
+    while np.any(going := (end - t) * np.sign(h) > 0):
+        if n == most:
+            raise RuntimeError(f"more than {most} steps")
+        n += 1
+        h = np.where(h > 0, np.minimum(h, end - t), np.maximum(h, end - t))
         k2 = f(t + h / 2, y + h / 2 * k1)
         k3 = f(t + 3 * h / 4, y + 3 * h / 4 * k2)
         new = y + h * (2 * k1 + 3 * k2 + 4 * k3) / 9
         k4 = f(t + h, new)
-        off = np.max(np.abs(h * (-5 * k1 / 72 + k2 / 12 + k3 / 9 - k4 / 8)) / (1 + np.abs(new)))
-        if off <= tol:
-            t, y, k1 = t + h, new, k4
-        h *= min(4.0, max(0.2, 0.9 * (tol / max(off, 1e-300)) ** (1 / 3)))
-    raise RuntimeError(f"more than {most} steps")
+        off = np.max(np.abs(h * (-5 * k1 / 72 + k2 / 12 + k3 / 9 - k4 / 8)) / (1 + np.abs(new)), axis=0)
+        taken = going & (off <= tol)
+        t, y, k1 = np.where(taken, t + h, t), np.where(taken, new, y), np.where(taken, k4, k1)
+        h = h * np.minimum(4.0, np.maximum(0.2, 0.9 * (tol / np.maximum(off, 1e-300)) ** (1 / 3)))
+    return y, n
 
 
 def adams_bashforth(f: Field, y: Vector, t: float, end: float, steps: int) -> Vector:
@@ -54,17 +57,17 @@ def adams_bashforth(f: Field, y: Vector, t: float, end: float, steps: int) -> Ve
 
 
 def rosenbrock(f: Field, y: Vector, t: float, end: float, steps: int) -> Vector:
-    """Second order and damping for stiff systems: two linear solves a step, no iteration."""
+    """Second order and damping for stiff systems: two linear solves a step, no iteration. States may be stacks, instances last."""
     h, y, g = (end - t) / steps, np.asarray(y, float), 1 + 1 / np.sqrt(2)
     for k in range(steps):
         s = t + k * h
         base = f(s, y)
-        e = 1e-7 * np.maximum(1, np.abs(y))
-        j = np.stack([(f(s, y + d) - base) / v for d, v in zip(np.diag(e), e, strict=True)], 1)
         ft = (f(s + 1e-7, y) - base) / 1e-7
-        m = np.eye(len(y)) - h * g * j
-        k1 = np.linalg.solve(m, base + h * g * ft)
-        k2 = np.linalg.solve(m, f(s + h, y + h * k1) - 2 * k1 - h * g * ft)
+        m = -h * g * jacobian(lambda z, s=s: f(s, z), y, base)
+        for i in range(len(y)):
+            m[i, i] += 1
+        k1 = solve(m, base + h * g * ft)
+        k2 = solve(m, f(s + h, y + h * k1) - 2 * k1 - h * g * ft)
         y = y + h * (3 * k1 + k2) / 2
     return y
 

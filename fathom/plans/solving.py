@@ -93,10 +93,10 @@ def tridiagonal_systems(s, d):
 @query(f"{_AB} SELECT s_suppkey, round(a * cos(b), 3) AS third_order, round(a * cos(b), 5) AS multistep, round(a * cos(b), 3) AS linearly_implicit, round(a * cos(b), 1) AS explicit FROM x")
 def integrators(s, d):
     def f(r):
-        turn, y0 = lambda u, y: np.array([y[1], -y[0]]), np.array([r.a, 0.0])
+        turn, y0 = lambda u, y: np.stack([y[1], -y[0]]), np.stack([r.a, 0 * r.a])
         return [steppers.bogacki_shampine(turn, y0, 0.0, r.b)[0][0], steppers.adams_bashforth(turn, y0, 0.0, r.b, 400)[0], steppers.rosenbrock(turn, y0, 0.0, r.b, 3000)[0], steppers.euler(turn, y0, 0.0, r.b, 4000)[0]]
 
-    return _each(s, d, f, ["third_order", "multistep", "linearly_implicit", "explicit"], 3, 5, 3, 1)
+    return _together(s, d, f, ["third_order", "multistep", "linearly_implicit", "explicit"], 3, 5, 3, 1)
 
 
 @query(f"{_AB} SELECT s_suppkey, round(a, 5) AS shot, round(a * sin(b / 2), 6) AS spectral FROM x")

@@ -10,7 +10,7 @@ from fathom.functions import descent, steppers
 from fathom.functions import lockstep as L
 
 DATA = "/root/testdata/sf0.001"
-SPREAD = ["constrained_minimisers", "boundary_values"]
+SPREAD = ["constrained_minimisers", "boundary_values", "integrators"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -60,3 +60,20 @@ def test_stacks_of_boundary_values():
     for k, e in enumerate(end.tolist()):
         u, v = steppers.chebyshev_bvp(lambda t: t, lambda t: 1 + t, lambda t: 0 * t, 0.0, e, 0.0, np.sin(e), 16)
         assert np.allclose(t[:, k], u) and np.allclose(y[:, k], v, atol=1e-12)
+
+
+METHODS = {
+    "euler": lambda f, y, e: steppers.euler(f, y, 0.0, e, 50),
+    "third order": lambda f, y, e: steppers.bogacki_shampine(f, y, 0.0, e)[0],
+    "multistep": lambda f, y, e: steppers.adams_bashforth(f, y, 0.0, e, 50),
+    "linearly implicit": lambda f, y, e: steppers.rosenbrock(f, y, 0.0, e, 50),
+}
+
+
+@pytest.mark.parametrize("name", METHODS)
+def test_stacks_of_trajectories(name):
+    w, end, y0 = np.array([0.5, 2.0, 9.0]), np.array([2.0, 0.7, 1.0]), np.array([[1.0, 2.0, -1.0], [0.0, 1.0, 3.0]])
+    field = lambda w: lambda t, y: np.stack([y[1], -w * y[0] - 0.1 * y[1] ** 2 + np.cos(t)])
+    got = METHODS[name](field(w), y0, end)
+    for k in range(3):
+        assert np.allclose(got[:, k], METHODS[name](field(w[k]), y0[:, k], end[k]), rtol=1e-11, atol=1e-12)
