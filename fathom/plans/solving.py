@@ -45,14 +45,14 @@ def oscillators(s, d):
     """Trajectories of y'' = -y, and of y' = -y, to the time b."""
 
     def f(r):
-        turn = lambda u, y: np.array([y[1], -y[0]])
-        y0 = np.array([r.a, 0.0])
+        turn = lambda u, y: np.stack([y[1], -y[0]])
+        y0 = np.stack([r.a, 0 * r.a])
         _, adaptive, _ = solvers.rk45(turn, y0, 0.0, r.b)
-        decay = solvers.implicit(lambda u, y: -y, np.array([r.a]), 0.0, r.b, 400)
-        x, _ = solvers.verlet(lambda q: -q, np.array([r.a]), np.array([0.0]), r.b / 2000, 2000)
-        return [local.rk4(turn, y0, 0.0, r.b, 200)[0], adaptive[0], np.ravel(decay)[0], np.ravel(x)[0]]
+        decay = solvers.implicit(lambda u, y: -y, y0[:1], 0.0, r.b, 400)
+        x, _ = solvers.verlet(lambda q: -q, y0[:1], 0 * y0[:1], r.b / 2000, 2000)
+        return [local.rk4(turn, y0, 0.0, r.b, 200)[0], adaptive[0], decay[0], x[0]]
 
-    return _each(s, d, f, ["rk4", "rk45", "implicit", "verlet"], 4, 4, 3, 3)
+    return _together(s, d, f, ["rk4", "rk45", "implicit", "verlet"], 4, 4, 3, 3)
 
 
 _SEARCHES = {"gradient": descent.gradient_descent, "conjugate": descent.conjugate_gradients, "lbfgs": descent.lbfgs, "region": descent.trust_region, "bfgs": local.bfgs, "simplex": solvers.nelder_mead}

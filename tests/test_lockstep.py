@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from fathom.functions import descent, steppers
+from fathom.functions import descent, local, solvers, steppers
 from fathom.functions import lockstep as L
 
 DATA = "/root/testdata/sf0.001"
-SPREAD = ["constrained_minimisers", "boundary_values", "integrators"]
+SPREAD = ["constrained_minimisers", "boundary_values", "integrators", "oscillators"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -63,7 +63,10 @@ def test_stacks_of_boundary_values():
 
 
 METHODS = {
-    "euler": lambda f, y, e: steppers.euler(f, y, 0.0, e, 50),
+    "rk4": lambda f, y, e: local.rk4(f, y, 0.0, e, 50),
+    "rk45": lambda f, y, e: solvers.rk45(f, y, 0.0, e)[1],
+    **{k: lambda f, y, e, k=k: solvers.implicit(f, y, 0.0, e, 50, k) for k in ("euler", "trapezoid", "bdf2")},
+    "explicit": lambda f, y, e: steppers.euler(f, y, 0.0, e, 50),
     "third order": lambda f, y, e: steppers.bogacki_shampine(f, y, 0.0, e)[0],
     "multistep": lambda f, y, e: steppers.adams_bashforth(f, y, 0.0, e, 50),
     "linearly implicit": lambda f, y, e: steppers.rosenbrock(f, y, 0.0, e, 50),
