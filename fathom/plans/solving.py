@@ -63,10 +63,10 @@ def minimisers(s, d):
     """The lowest point of a tilted bowl, by six searches."""
 
     def f(r):
-        bowl = lambda v: (v[0] - r.a) ** 2 + 3 * (v[1] - r.b) ** 2 + (v[0] - r.a) * (v[1] - r.b)
-        return [x for search in _SEARCHES.values() for x in search(bowl, np.zeros(2))[0]]
+        bowl = lambda v, r: (v[0] - r.a) ** 2 + 3 * (v[1] - r.b) ** 2 + (v[0] - r.a) * (v[1] - r.b)
+        return [x for search in _SEARCHES.values() for x in search(bowl, np.zeros((2, len(r))), rows=r)[0]]
 
-    return _each(s, d, f, [f"{k}_{n}" for k in _SEARCHES for n in "xy"], 3)
+    return _together(s, d, f, [f"{k}_{n}" for k in _SEARCHES for n in "xy"], 3)
 
 
 @query(f"{_AB} SELECT s_suppkey, round(least(a, 2), 3) AS boxed, round(-a, 3) AS on_line, round(a, 3) AS swarm, round(a, 3) AS annealed FROM x")

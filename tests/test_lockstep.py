@@ -10,7 +10,7 @@ from fathom.functions import descent, local, solvers, steppers
 from fathom.functions import lockstep as L
 
 DATA = "/root/testdata/sf0.001"
-SPREAD = ["constrained_minimisers", "boundary_values", "integrators", "oscillators"]
+SPREAD = ["constrained_minimisers", "boundary_values", "integrators", "oscillators", "minimisers", "roots_and_integrals", "tridiagonal_systems"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -24,6 +24,7 @@ def _wavy(v, r):
 
 
 STACKS = {
+    **{k.__name__: lambda f, x, r, k=k: k(f, x, rows=r) for k in (descent.gradient_descent, descent.conjugate_gradients, descent.lbfgs, descent.trust_region, local.bfgs, solvers.nelder_mead)},
     "projected": lambda f, x, r: descent.projected_gradient(f, x, lambda v, r: np.clip(v, -1, 2), rows=r),
     "lagrangian": lambda f, x, r: descent.augmented_lagrangian(f, x, [lambda v, r: v[0] - v[1] + 1], rows=r),
     "annealing": lambda f, x, r: descent.annealing(f, x, rounds=300, rows=r),
