@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.catalog import query, t
 from fathom.functions import quantiles as Q
 from fathom.functions.samplers import Sampler, halton, sobol_2
+from fathom.session import spread
 
 
 @query("""WITH x AS (SELECT event_id, (event_id % 997 + 0.5) / 997 AS p FROM events)
@@ -16,7 +17,7 @@ SELECT event_id, -ln(1 - p) / 2 AS gamma, -2 * ln(1 - p) AS chi_square, sqrt(p)
 def inverse_distributions(s, d):
     """Quantiles with a closed form, and ways there and back for the others; a copula of independent parts."""
     p, c = F.col("p"), Q.column
-    e = t(s, d, "events").select("event_id", ((F.col("event_id") % 997 + 0.5) / 997).alias("p"))
+    e = spread(t(s, d, "events").select("event_id", ((F.col("event_id") % 997 + 0.5) / 997).alias("p")), "event_id")
     return e.select(
         "event_id", c(Q.gamma_quantile, p, 1, 2).alias("gamma"), c(Q.chi_square_quantile, p, 2).alias("chi_square"), c(Q.beta_quantile, p, 2, 1).alias("beta"), c(Q.beta_quantile, p, 1, 3).alias("beta_turned"),
         c(Q.t_quantile, p, 1).alias("t1"), c(Q.t_quantile, p, 2).alias("t2"), c(Q.f_quantile, p, 2, 3).alias("f23"), c(lambda x: Q.normal_cdf(Q.normal_quantile(x)), p).alias("normal"),
