@@ -53,7 +53,7 @@ def sampler_moments(s, d):
         "logistic": r.logistic(), "weibull": r.weibull(2.0), "chi_squared": r.chi_squared(3.0), "integer": r.integer(0, 10), "boolean": r.boolean(0.3).cast("int"), "sphere": r.on_sphere()[0], "disk": r.in_disk()[0], "choice": r.choice([1.0, 1.0, 2.0]),
         "lognormal": r.lognormal(0.0, 0.25), "pareto": r.pareto(5.0), "student": r.student_t(10.0),
     }
-    x = t(s, d, "events").select(*(c.cast("double").alias(k) for k, c in draws.items()))
+    x = spread(t(s, d, "events").select("event_id"), "event_id").select(*(c.cast("double").alias(k) for k, c in draws.items()))
     x = x.agg(*(a(k).alias(f"{k}{i}") for k in draws for i, a in enumerate((F.avg, F.var_samp))), F.count("*").alias("n"))
     fits = lambda k: F.struct(F.lit(k).alias("name"), (F.abs(F.col(f"{k}0") - _MOMENTS[k][0]) < 5 * F.sqrt(F.lit(_MOMENTS[k][1])) / F.sqrt("n") + 1e-4).alias("mean_fits"), (F.abs(F.col(f"{k}1") / _MOMENTS[k][1] - 1) < 0.1).alias("variance_fits"))
     return x.select(F.explode(F.array(*map(fits, draws))).alias("v")).select("v.*")

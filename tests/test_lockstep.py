@@ -19,6 +19,12 @@ def test_small_files_are_worked_on_by_all_cores(spark, name):
     assert __spark_entry__.queries()[name](spark, DATA).rdd.getNumPartitions() >= 8
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_draws_of_a_small_file_are_made_by_all_cores(spark):
+    plan = __spark_entry__.queries()["sampler_moments"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in plan
+
+
 def _wavy(v, r):
     return ((v - r.c) ** 2).sum(0) + 0.3 * (1 - np.cos(2 * (v[0] - r.c[0]))) + v[0] * v[-1] / 4
 
