@@ -1,5 +1,7 @@
 """Dense kernels against their defining equations."""
 
+import sys
+
 import numpy as np
 import pytest
 
@@ -55,3 +57,32 @@ def test_rows_that_no_kernel_takes_are_null(spark):
     df = spark.createDataFrame(rows, "id long, m array<double>")
     got = {r.id: (r.det, r.inv) for r in dense.each(df, lambda m: {"det": dense.determinant(m) if m.shape[1] == 2 else np.full(len(m), np.nan), "inv": dense.inverse(m) if m.shape[1] == 2 else np.full((len(m), 1), np.nan)}, "det double, inv array<double>", "m", keep=["id"], width=2).collect()}
     assert got[1] == (1.0, [1.0, 0.0, 0.0, 1.0]) and got[5] == (0.0, None) and all(got[k] == (None, None) for k in (2, 3, 4, 6, 7))
+
+
+def test_kernels_take_whole_stacks():
+    """None goes matrix by matrix: the same few calls serve any number of them."""
+    a, b = stack(3, 4000), stack(3, 4000, 1)[:, 0]
+    s = a @ a.transpose(0, 2, 1) + np.eye(3)
+    for f in (lambda k: dense.krylov(s[:k], b[:k], "gmres"), lambda k: dense.krylov(s[:k], b[:k], "bicgstab"), lambda k: dense.lanczos(s[:k], 3)):
+        calls = []
+        for k in (1000, 4000):
+            n, before = [0], sys.getprofile()
+            sys.setprofile(lambda frame, event, arg, n=n: n.__setitem__(0, n[0] + (event == "call")))
+            try:
+                f(k)
+            finally:
+                sys.setprofile(before)
+            calls.append(n[0])
+        assert calls[1] < 1.5 * calls[0] < 3000
+    assert np.allclose(dense.krylov(s, b, "gmres"), dense.solve(s, b)[:, :, 0]) and np.allclose(dense.lanczos(s, 3), dense.symmetric_eigen(s)[0])
+
+
+def test_stacks_with_early_ends():
+    """Matrices whose Krylov space ends early, and right sides of nothing, among others."""
+    a, b = stack(3, 6) + 4 * np.eye(3), stack(3, 6, 1)[:, 0]
+    a[1], a[4], b[2] = 2 * np.eye(3), np.diag([1.0, 1.0, 5.0]), 0
+    assert np.allclose(np.einsum("kij,kj->ki", a, dense.krylov(a, b, "gmres")), b) and not dense.krylov(a, b, "gmres")[2].any()
+    w = dense.lanczos((a + a.transpose(0, 2, 1)) / 2, 3)
+    assert np.isnan(w[1]).tolist() == [False, True, True] and w[1, 0] == pytest.approx(2) and np.isfinite(w[0]).all()
+    low = np.array([[[-3.0, 0], [0, 1]], [[0.0, 0], [0, 0]]])
+    assert np.allclose(dense.simultaneous_iteration(low, 1)[0][:, 0], [-3, 0])
