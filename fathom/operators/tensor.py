@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from fathom.errors import need
 from fathom.operators.matrix import spmv
-from fathom.session import materialise
+from fathom.session import discard, materialise
 
 
 def axes(a: DataFrame) -> list[str]:
@@ -116,35 +116,41 @@ def _axpy(x: DataFrame, y: DataFrame, k: float) -> DataFrame:
 def conjugate_gradient(a: DataFrame, b: DataFrame, rounds: int = 200, tol: float = 1e-10, diagonal: bool = True) -> tuple[DataFrame, dict]:
     """Solves a x = b for a symmetric positive definite matrix, b(i, v); with diagonal preconditioning unless told otherwise.
 
-    A round is one sparse product, two sums and three vector updates; vectors are written out between rounds, so that a
-    lost executor costs one round.
+    A round is one sparse product, two sums and three vector updates; the matrix is written out once, vectors between rounds
+    for as long as they are read, so that a lost executor costs one round.
     """
-    inverse = a.where(F.col("i") == F.col("j")).select("i", (1 / F.col("v")).alias("_d"))
+    a = materialise(a.select("i", "j", "v"), "matrix")
+    inverse = materialise(a.where(F.col("i") == F.col("j")).select("i", (1 / F.col("v")).alias("_d"))) if diagonal else None
 
     def scaled(r: DataFrame) -> DataFrame:
         return materialise(r.join(inverse, "i").select("i", (F.col("v") * F.col("_d")).alias("v"))) if diagonal else r
 
-    x = b.select("i", F.lit(0.0).alias("v"))
     r = materialise(b.select("i", F.col("v").cast("double").alias("v")))
+    x = materialise(r.select("i", F.lit(0.0).alias("v")))
     size = _dot(r, r) ** 0.5
-    if size == 0:
-        return x, {"rounds": 0, "residual": 0.0, "converged": True}
     z = scaled(r)
-    p, rz, left = z, _dot(r, z), size
-    for k in range(1, rounds + 1):
+    p, rz, left, told = z, _dot(r, z), size, {"rounds": 0, "residual": 0.0, "converged": True}
+    for k in range(1, rounds + 1) if size else ():
         q = materialise(spmv(a, p))
         curve = _dot(p, q)
         if curve <= 0:
-            return x, {"rounds": k, "residual": left / size, "converged": False}
-        step = rz / curve
+            discard(q)
+            told = {"rounds": k, "residual": left / size, "converged": False}
+            break
+        step, old = rz / curve, (x, r, q, *((z,) if diagonal and z is not p else ()))
         x, r = materialise(_axpy(x, p, step)), materialise(_axpy(r, q, -step))
+        # without scaling the first p is r itself
+        discard(*(t for t in old if t is not p))
         left = _dot(r, r) ** 0.5
-        if left <= tol * size:
-            return x, {"rounds": k, "residual": left / size, "converged": True}
+        told = {"rounds": k, "residual": left / size, "converged": left <= tol * size}
+        if told["converged"]:
+            break
         z = scaled(r)
-        new = _dot(r, z)
+        new, old = _dot(r, z), p
         p, rz = materialise(_axpy(z, p, new / rz)), new
-    return x, {"rounds": rounds, "residual": left / size, "converged": False}
+        discard(old)
+    discard(a, *(t for t in {id(t): t for t in (inverse, r, z, p)}.values() if t is not None))
+    return x, told
 
 
 def minimum_spanning_forest(edges: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.catalog import _EDGES, _edges, query, t
 from fathom.operators import tensor
+from fathom.session import materialise
 
 
 def _sales(s, d) -> DataFrame:
@@ -59,8 +60,8 @@ def tensor_norm(s, d):
 @query()
 def conjugate_gradient(s, d):
     """Laplacian of the trade graph plus one on the diagonal, against the degrees."""
-    e = _edges(s, d)
-    u = e.union(e.select("dst", "src", "w")).groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("w"))
+    e = materialise(_edges(s, d), "edges")
+    u = materialise(e.union(e.select("dst", "src", "w")).groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(F.sum("w").alias("w")))
     a = u.select("i", "j", (-F.col("w")).alias("v")).union(u.groupBy("i").agg(F.sum("w").alias("s")).select("i", F.col("i").alias("j"), F.col("s") + 1))
     return tensor.conjugate_gradient(a, u.groupBy("i").agg(F.count("*").cast("double").alias("v")))[0]
 
