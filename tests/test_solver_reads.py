@@ -1,10 +1,10 @@
-"""Iterative solvers read their matrix from one written table."""
+"""Work is not done twice, nor all by one task."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import tensor
+from fathom.operators import numeric, tensor
 
 
 @pytest.mark.parametrize("diagonal", [True, False])
@@ -30,3 +30,16 @@ def test_conjugate_gradients_of_nothing(spark):
     a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 2.0)], "i int, j int, v double")
     x, told = tensor.conjugate_gradient(a, spark.range(2).select(F.col("id").cast("int").alias("i"), F.lit(0.0).alias("v")))
     assert told["converged"] and [r.v for r in x.collect()] == [0.0, 0.0]
+
+
+def test_intervals_of_one_cell_are_paired_by_many_tasks(spark):
+    # all in one cell, and some across cells
+    rows = [(k, k % 7 / 10, k % 7 / 10 + 0.05 + k % 3) for k in range(300)]
+    a = spark.createDataFrame(rows, "id long, lo double, hi double")
+    got = numeric.overlaps(a, a, "lo", "hi", 2.0, block=50)
+    pairs = got.select("*", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.a_id, r.b_id) for r in pairs) == sorted((i, j) for i, x, y in rows for j, u, v in rows if x <= v and u <= y)
+    tasks = {}
+    for r in pairs:
+        tasks[r.task] = tasks.get(r.task, 0) + 1
+    assert len(tasks) > 10 and max(tasks.values()) < len(pairs) / 5
