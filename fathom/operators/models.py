@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window as W
 from fathom.errors import need_columns
 from fathom.functions.columns import nonzero
 from fathom.operators.running import running
+from fathom.session import ship, spread
 
 
 def linear_model(df: DataFrame, y: str, xs: list[str], weight: Column | None = None, ridge: float = 0.0) -> DataFrame:
@@ -97,20 +100,100 @@ def logistic(df: DataFrame, y: str, xs: list[str], rounds: int = 25, tol: float
 
 def knn(points: DataFrame, queries: DataFrame, id: str, vector: str, label: str, k: int, most_queries: int = 50_000) -> DataFrame:
     """Majority label of the k nearest points (squared distance, ties to smaller ids and labels). Queries are broadcast in
-    blocks of about most_queries, each exact by itself; queries that share an id are in one block."""
-    d2 = F.aggregate(F.zip_with("_q", vector, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.select(F.col(id).alias("q_id"), F.col(vector).alias("_q"))
+    blocks of about most_queries, each exact by itself; queries that share an id are in one block. A distance from or to a
+    vector that is null, holds what is null or not finite, or has another length than the query comes last.
+
+    A task takes its points in Arrow batches: matrix products give distances but for rounding, those that rounding could bring
+    among the nearest are worked out term by term, and the task keeps the k nearest of each query.
+    """
+    ship(points.sparkSession)
+    asked = queries.select(F.col(id).alias("q_id"), F.col(vector).cast("array<double>").alias("_q"))
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (id, label)}
+    x = spread(points.select(id, label, F.col(vector).cast("array<double>").alias("_x")), id)
     blocks = max(1, -(-asked.count() // most_queries))
     answers = []
     for block in range(blocks):
-        q = F.broadcast(asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block) if blocks > 1 else asked)
-        near = points.join(q, F.col(id) != F.col("q_id")).select("q_id", id, label, d2.alias("d"))
-        answers.append(near.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", id))).where(F.col("r") <= k))
+        q = (asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()
+        sent = points.sparkSession.sparkContext.broadcast(q)
+        run = partial(_nearest, sent=sent, k=k, names=("q_id", id, label))
+        answers.append(x.mapInArrow(run, f"q_id {kinds[id]}, `{id}` {kinds[id]}, `{label}` {kinds[label]}, d double"))
     near = reduce(DataFrame.union, answers)
+    near = near.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("d", id))).where(F.col("r") <= k)
     votes = near.groupBy("q_id", label).agg(F.count("*").alias("votes"))
     return votes.groupBy("q_id").agg(F.max_by(label, F.struct("votes", -F.col(label))).alias("predicted"))
 
 
+def _vectors(c: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) of the vectors of each length that hold finite numbers."""
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    starts, values = c.offsets.to_numpy()[:-1], c.values.to_numpy(zero_copy_only=False)
+    lengths = np.where(c.is_valid().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy()), -1)
+    out = []
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        at = np.flatnonzero(lengths == n)
+        m = values[starts[at][:, None] + np.arange(n)].astype(float)
+        fine = np.isfinite(m).all(1)
+        out.append((n, at[fine], m[fine]))
+    return out
+
+
+def _keys(c: pa.Array) -> np.ndarray:
+    x = c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False)
+    return x.astype(str) if x.dtype == object else x
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], sent, k: int, names: tuple[str, str, str], block: int = 256) -> Iterator[pa.RecordBatch]:
+    q = sent.value
+    if not q.num_rows:
+        return
+    q_keys, q_ids, q_vectors = _keys(q["q_id"]), q["q_id"].combine_chunks(), _vectors(q["_q"])
+    # of the nearest up to now: query, distance, key; ids and labels in Arrow
+    of, far, keys, ids, labels = np.zeros(0, int), np.zeros(0), None, None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n, key = b.num_rows, _keys(b.column(0))
+        groups = {length: (at, m, (m * m).sum(1)) for length, at, m in _vectors(b.column(2))}
+        found = []
+        for length, rows, m in [*q_vectors, (-1, np.setdiff1d(np.arange(q.num_rows), np.concatenate([r for _, r, _ in q_vectors] or [np.zeros(0, int)])), None)]:
+            at, x, xx = groups.get(length, (np.zeros(0, int), None, None))
+            for start in range(0, len(rows), block):
+                r = rows[start : start + block]
+                d, slack = np.full((len(r), n), np.inf), np.zeros(len(r))
+                if len(at):
+                    y = m[start : start + block]
+                    yy = (y * y).sum(1)
+                    d[:, at] = yy[:, None] + xx - 2 * (y @ x.T)
+                    slack = 16 * (length + 8) * np.finfo(float).eps * (np.sqrt(xx.max()) + np.sqrt(yy)) ** 2
+                d[q_keys[r][:, None] == key] = np.nan
+                least = np.partition(d, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+                i, j = np.nonzero(d <= (np.where(np.isnan(least), np.inf, least) + slack)[:, None])
+                exact = d[i, j]
+                place = np.full(n, -1)
+                place[at] = np.arange(len(at))
+                held = place[j] >= 0
+                if held.any():
+                    s = np.zeros(int(held.sum()))
+                    u, v = y[i[held]], x[place[j[held]]]
+                    for c in range(length):
+                        s = s + (u[:, c] - v[:, c]) * (u[:, c] - v[:, c])
+                    exact[held] = s
+                found.append((r[i], exact, j))
+        j = np.concatenate([f[2] for f in found])
+        take = pa.array(j)
+        of, far = np.concatenate([of, *(f[0] for f in found)]), np.concatenate([far, *(f[1] for f in found)])
+        keys = key[j] if keys is None else np.concatenate([keys, key[j]])
+        ids = b.column(0).take(take) if ids is None else pa.concat_arrays([ids, b.column(0).take(take)])
+        labels = b.column(1).take(take) if labels is None else pa.concat_arrays([labels, b.column(1).take(take)])
+        order = np.lexsort((keys, far, of))
+        first = np.searchsorted(of[order], of[order])
+        order = order[np.arange(len(order)) - first < k]
+        of, far, keys, ids, labels = of[order], far[order], keys[order], ids.take(pa.array(order)), labels.take(pa.array(order))
+    for start in range(0, len(of), 10_000):
+        n = slice(start, start + 10_000)
+        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(of[n])), ids[n], labels[n], pa.array(far[n])], names=[*names, "d"])
+
+
 def linear_prediction(intercept: float, weights: dict[str, float]) -> Column:
     out = F.lit(float(intercept))
     for c, w in weights.items():

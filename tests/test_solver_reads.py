@@ -43,3 +43,21 @@ def test_intervals_of_one_cell_are_paired_by_many_tasks(spark):
     for r in pairs:
         tasks[r.task] = tasks.get(r.task, 0) + 1
     assert len(tasks) > 10 and max(tasks.values()) < len(pairs) / 5
+
+
+def test_nearest_points_with_ties_and_odd_vectors(spark):
+    from fathom.operators import models
+
+    g = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in g.integers(-2, 3, 3)], k % 3) for k in range(400)] + [(900, None, 0), (901, [1.0, None, 0.0], 1), (902, [1.0, 2.0], 2), (903, [1e8, 1e8 + 1e-7, 1e8], 1), (904, [1e8, 1e8, 1e8], 2)]
+    df = spark.createDataFrame(rows, "id long, x array<float>, label int")
+    out = models.knn(df, df.where("id % 10 = 0 or id > 900"), "id", "x", "label", 5)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.q_id: r.predicted for r in out.collect()}
+    held = {k: None if x is None or None in x else np.array(x, np.float32).astype(float) for k, x, _ in rows}
+    label = {k: c for k, _, c in rows}
+    for q in (k for k in held if k % 10 == 0 or k > 900):
+        away = lambda k, q=q: float(sum((held[q] - held[k]) ** 2)) if held[q] is not None and held[k] is not None and len(held[q]) == len(held[k]) else np.inf
+        near = sorted((k for k in held if k != q), key=lambda k: (away(k), k))[:5]
+        votes = [label[k] for k in near]
+        assert got[q] == min(set(votes), key=lambda c: (-votes.count(c), c))
