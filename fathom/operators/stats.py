@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from fathom.errors import need, need_columns
 from fathom.functions.columns import nonzero
 from fathom.operators.running import running
-from fathom.session import materialise, ship, unused
+from fathom.session import discard, materialise, ship, unused
 
 
 def describe(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -66,10 +66,23 @@ def anova(df: DataFrame, value: str, by: str) -> DataFrame:
     return t.select(f.alias("f_statistic"), (F.col("k") - 1).cast("long").alias("df_between"), (F.col("nn") - F.col("k")).cast("long").alias("df_within"), "ss_between", "ss_within")
 
 
+def medians(df: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, median), by counts of distinct values and their running totals: no task holds a group's values. Null groups are left out."""
+    x = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    x = materialise(running(x, ["_g", "_v"], _upto=("sum", F.col("_n"))))
+    # ranks of the two middle rows among all rows
+    g = x.groupBy("_g").agg(F.min(F.col("_upto") - F.col("_n")).alias("_before"), F.sum("_n").alias("_all"))
+    g = g.select("_g", *((F.col("_before") + F.floor((F.col("_all") + k) / 2)).alias(f"_r{k}") for k in (1, 2)))
+    at = lambda r: F.max(F.when((F.col("_upto") >= F.col(r)) & (F.col("_upto") - F.col("_n") < F.col(r)), F.col("_v")))
+    out = materialise(x.join(g, "_g").groupBy(F.col("_g").alias(by)).agg(((at("_r1") + at("_r2")) / 2).alias("median")))
+    discard(x)
+    return out
+
+
 def levene(df: DataFrame, value: str, by: str, center: str = "median") -> DataFrame:
     """ANOVA of absolute deviations from the group's median (or mean). The group's centre is an aggregate joined back."""
     need(center in ("mean", "median"), "center is mean or median")
-    c = df.groupBy(by).agg((F.median(value) if center == "median" else F.avg(value)).alias("_c"))
+    c = medians(df, value, by).withColumnRenamed("median", "_c") if center == "median" else df.groupBy(by).agg(F.avg(value).alias("_c"))
     return anova(df.join(c, by).select(by, F.abs(F.col(value) - F.col("_c")).alias("_d")), "_d", by).select(F.col("f_statistic").alias("w_statistic"), "df_between", "df_within")
 
 

@@ -61,3 +61,15 @@ def test_nearest_points_with_ties_and_odd_vectors(spark):
         near = sorted((k for k in held if k != q), key=lambda k: (away(k), k))[:5]
         votes = [label[k] for k in near]
         assert got[q] == min(set(votes), key=lambda c: (-votes.count(c), c))
+
+
+def test_medians_hold_no_groups_values(spark):
+    from fathom.operators import stats
+
+    g = np.random.default_rng(5)
+    rows = [("abc"[k % 3] if k % 50 else None, float(v) if k % 40 else None) for k, v in enumerate(g.integers(0, 60, 500))] + [("one", 7.0), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: float(np.median([v for j, v in rows if j == k and v is not None])) for k in {j for j, _ in rows} - {None}}
+    assert {r.k: r.median for r in stats.medians(df, "v", "k").collect()} == want
+    plan = stats.levene(df, "v", "k")._jdf.queryExecution().executedPlan().toString()
+    assert "median(" not in plan and "percentile" not in plan
